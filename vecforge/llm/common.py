@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 16 << 20
 _roots: dict[str, SparkSession] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +81,22 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, unless they find it by PYTHONPATH as the driver does."""
+    top = Path(__file__).resolve().parents[1]
+    known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if top.parent in known or spark.sparkContext.applicationId in _shipped:
+        return
+    with zipfile.ZipFile(path := Path(tempfile.mkdtemp()) / f"{top.name}.zip", "w") as z:
+        for f in top.rglob("*.py"):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Long texts: few rows in an Arrow batch bound a Python worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
