@@ -157,3 +157,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each group of near duplicates keeps its smallest doc_id (rows that repeat it: one of them)."""
+    gone = save(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    out = docs.join(sized(gone, 16), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    known = out.where("doc_id is not null")
+    return known.dropDuplicates(["doc_id"]).union(out.where("doc_id is null")) if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else out
