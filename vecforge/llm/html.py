@@ -157,21 +157,21 @@ def host(url: str | None) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, style path hash, text hash, page hash, depth of each block outside a main landmark and outside named chrome, whose importance is open."""
+    """host, style path hash, text hash, page hash of each block outside a main landmark."""
     for batch in batches:
         rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h, seen = host(url), set()
             key = _hash(page or "")
             for b in blocks(page or ""):
-                if not (b.main or b.chrome) and (k := (_hash(b.path), _hash(_flat(b)))) not in seen:
+                if not b.main and (k := (_hash(b.path), _hash(_flat(b)))) not in seen:
                     seen.add(k)
                     rows.append((h, *k, key))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(4)], ["host", "path", "text", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, m) of the merged tree's nodes with open blocks, on m different pages.
+    """(host, path, importance, m) of the merged tree's nodes outside main landmarks, on m different pages.
 
     A feature (a block's text) that occurs on n of the node's m pages has entropy log n / log m there, and a node's
     content importance is 1 less the mean entropy of its features' occurrences; equal pages count once. A node on a

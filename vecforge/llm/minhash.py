@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import components, release, save, sized, small_batches
 from .words import _G, mix, shingles, times_g
 
+#: Turns of comparing a band's classes with one of them, at most, before the rest is compared in blocks.
+STARS = 3
+#: Shingles in a block of one side.
+BLOCK = 1_000_000
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6
 
 
@@ -110,13 +115,58 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return out
 
 
+def _block(percent: int, k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between the rows of side x and all others of another component, one merge of counts for each x."""
+        sets = [shingles(t, k) for t in pdf["text"]]
+        lens = np.array([len(s) for s in sets])
+        y = np.flatnonzero(~pdf["x"].to_numpy())
+        out = []
+        if len(y):
+            all_, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(lens)])
+            flat = np.concatenate([ids[at[i] : at[i + 1]] for i in y])
+            starts = np.concatenate([[0], np.cumsum(lens[y])[:-1]])
+            rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
+            mask = np.zeros(len(all_), np.int64)
+            for i in np.flatnonzero(pdf["x"].to_numpy()):
+                own = ids[at[i] : at[i + 1]]
+                mask[own] = 1
+                both = np.add.reduceat(mask[flat], starts)
+                mask[own] = 0
+                hit = y[(100 * both >= percent * (lens[i] + lens[y] - both)) & (comp[y] != comp[i])]
+                # one link into each other component is enough
+                for j in hit[np.unique(comp[hit], return_index=True)[1]].tolist():
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _across(text: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components of one band: those outside the band's largest component against all of another component,
+    in blocks of at most about BLOCK shingles a side, so that neither a task nor the number of rows grows with the pairs."""
+    per = rest.groupBy("key", "comp").agg(F.sum("n").alias("s"))
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("s", "comp")).alias("main"), F.ceil(F.sum("s") / BLOCK).cast("int").alias("ny"), F.ceil((F.sum("s") - F.max("s") + 1) / BLOCK).cast("int").alias("nx"))
+    r = rest.join(main, "key")
+    xb, yb = F.pmod(F.xxhash64("rep"), F.col("nx")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ny")).cast("int")
+    xs = r.where("comp <> main").select("key", "rep", "comp", xb.alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"), F.lit(True).alias("x"))
+    ys = r.select("key", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), yb.alias("yb"), F.lit(False).alias("x"))
+    ids = save(rest.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    own = save(text.join(sized(ids, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "texts")
+    out = save(xs.union(ys).join(own, "rep").groupBy("key", "xb", "yb").applyInPandas(_block(percent, k), "a long, b long").distinct(), "links")
+    release(ids, own)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...; other columns are ignored).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles. Documents with equal
-    sets become one class first; then classes that share a band are compared with the band's first class, and last, in
-    bands that still hold several components, across components only: within a component nothing is left to find, so no
-    group is expanded into all its pairs and no link between components is lost. A null or empty text has no shingles and
+    sets become one class first; then classes that share a band are compared with the band's first class, then, in bands
+    that still hold several components, with a class chosen by a hash, another each turn; last, in blocks, across components only:
+    within a component nothing is left to find, so no group is expanded into all its pairs and no link between
+    components is lost. Turns end as soon as comparing across components costs about as much as a turn. A null or empty text has no shingles and
     links with nothing; a null doc_id has a null component and
     is kept; rows that repeat a doc_id are placed each by its own text.
     """
@@ -132,26 +182,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     star = save(banded.join(lead.drop("c"), "key").where(f"rep <> lead.rep and {fits}").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = verify(text, star, k, percent)
-    tried = star
-    for final in (False, True):
-        comp = save(components(links), "comp")
+    tried, comp = star, save(components(links), "comp")
+    for turn in range(1, STARS + 1):
         label = comp.select(F.col("id").alias("rep"), "component")
         marked = banded.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = save(marked.join(mixed, "key"), "rest")
+        mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+        rest = save(marked.join(mixed.select("key", "c"), "key"), "rest")
+        rows, squares = rest.agg(F.count("*"), F.sum("c")).first()
+        if not rows:
+            release(rest)
+            break
+        final = turn == STARS or squares <= 8 * rows
         if final:
-            x, y = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where(f"ca < cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = _across(text, rest, k, percent)
         else:
-            top = rest.groupBy("key").agg(F.max(F.struct("comp", "rep", "n")).alias("lead"))
-            pairs = rest.join(top, "key").where(f"comp <> lead.comp and {fits}").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        release(rest, comp)
-        if pairs.isEmpty():
-            continue
-        links = save(links.union(verify(text, pairs, k, percent)), "links")
-        tried = save(tried.union(pairs), "tried")
-    comp = save(components(links), "comp").withColumnRenamed("id", "rep")
+            lead = rest.groupBy("key").agg(F.max_by(F.struct("comp", "rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
+            pairs = rest.join(lead, "key").where(f"comp <> lead.comp and {fits}").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+            pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = verify(text, pairs, k, percent)
+            tried = save(tried.union(pairs), "tried")
+        release(rest)
+        if not more.isEmpty():
+            links = save(links.union(more), "links")
+            comp = save(components(links), "comp")
+        if final:
+            break
+    comp = comp.withColumnRenamed("id", "rep")
     placed = classes.select("c1", "c2", "n_shingles", "rep").join(comp, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("root"))
     out = sets.select("doc_id", "n_shingles", "c1", "c2").join(placed, ["c1", "c2", "n_shingles"], "left")
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
