@@ -25,38 +25,50 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _keys(line: Column, level: Column) -> Column:
     """The line's different words in lower case, as longs that sort by rarity, then hash: 6 bits of class, 57 of hash."""
 
     def key(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(level, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return _let(F.xxhash64(w), lambda h: F.shiftleft(F.get(level, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(F.lower(line), _SPACE), lambda w: w != ""), key)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), key)))
 
 
-def _bits(keys: str, half: int) -> Column:
+def _bits(keys: Column, half: int) -> Column:
     """64 of the 128 bits of a set's bitmap: two sets differ in at least as many words as in bits."""
-    bit = lambda k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, _one(k)).otherwise(F.lit(0).cast("long"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, one(k)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
 
 
-def _one(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+def _line(i: Column, keys: Column) -> Column:
+    """What the join needs of a line: its number, its set's hash, size and bitmap, the prefix, and the least and greatest word hash."""
+    n = F.size(keys)
+    hashes = F.transform(keys, lambda k: F.shiftleft(k, 7))
+    head = F.slice(keys, F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1)
+    return F.struct(i.alias("line_no"), F.xxhash64(keys).alias("cid"), n.alias("n"), _bits(keys, 0).alias("s0"), _bits(keys, 1).alias("s1"), F.array(F.array_min(hashes), F.array_max(hashes)).alias("ends"), head.alias("head"))
 
 
 #: a and b words can reach a similarity of 0.8 only by sharing 4 (a + b) / 9 of them.
 _OVERLAP = "((4 * ({a} + {b}) + 8) div 9)"
 
 
+def _near(x: str, y: str) -> str:
+    """Length and bitmap filter of two sets."""
+    need = _OVERLAP.format(a=f"{x}.n", b=f"{y}.n")
+    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1) <= {x}.n + {y}.n - 2 * {need})"
+
+
 def _possible(x: str, y: str) -> str:
-    """Length, prefix, positional and bitmap filter of a common word at x.pos and y.pos. The first common word of a similar pair passes all of them."""
+    """Length, bitmap, prefix and positional filter of a common word at x.pos and y.pos. The first common word of a similar pair passes all of them."""
     need = _OVERLAP.format(a=f"{x}.n", b=f"{y}.n")
     prefix = lambda s, o: f"if({s}.n < {o}.n or ({s}.n = {o}.n and {s}.id < {o}.id), {s}.pos < {s}.n - (8 * {s}.n + 8) div 9 + 1, true)"
-    return (
-        f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and {prefix(x, y)} and {prefix(y, x)} and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need} "
-        f"and bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1) <= {x}.n + {y}.n - 2 * {need})"
-    )
+    return f"({_near(x, y)} and {prefix(x, y)} and {prefix(y, x)} and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need})"
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, level: Column) -> DataFrame:
@@ -77,22 +89,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines are ordered by doc_id, then number. Two lines match if their sets of lower-case words have a Jaccard similarity
     of at least 0.8; lines of under LEAST_WORDS different words match nothing. Equal sets form a class, represented by
-    its first line. Classes are first compared with the earliest line of each of their prefix words, which settles the
-    members of large groups; the rest are compared with all earlier classes. Rows without text or doc_id have no lines;
+    its first line. Classes are first compared with the earliest line that has the same least or greatest word hash, which
+    settles most members of large groups; the rest are compared with all earlier classes that share a prefix word. Rows without text or doc_id have no lines;
     rows that repeat a doc_id count as one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     level = rarity(docs)
-    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", _keys(F.col("line"), level).alias("keys")).where(F.size("keys") >= LEAST_WORDS)
-    n = F.size("keys")
-    lines = save(
-        raw.select(F.struct("doc_id", "line_no").alias("id"), F.xxhash64("keys").alias("cid"), n.alias("n"), _bits("keys", 0).alias("s0"), _bits("keys", 1).alias("s1"), F.slice("keys", 1, n - F.expr("(8 * size(keys) + 9) div 10") + 1).alias("head")),
-        "lines",
-    )
-    classes = save(lines.groupBy("cid", "n", "s0", "s1").agg(F.min("id").alias("id"), F.first("head").alias("head")), "classes")
-    words = classes.select("id", "n", "s0", "s1", F.posexplode("head").alias("pos", "tok"))
-    lead = words.groupBy("tok").agg(F.min(F.struct("id", "n", "s0", "s1", "pos")).alias("y"), F.count("*").alias("c")).where("c > 1")
-    led = words.alias("x").join(lead.drop("c"), "tok").where(f"x.id > y.id and {_possible('x', 'y')}").select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
+    sets = F.transform(F.split("text", "\n"), lambda line, i: _let(_keys(line, level), lambda k: F.when(F.size(k) >= LEAST_WORDS, _line(i, k))))
+    raw = docs.select("doc_id", F.explode(F.filter(sets, lambda x: x.isNotNull())).alias("l"))
+    lines = save(raw.select(F.struct("doc_id", "l.line_no").alias("id"), "l.cid", "l.n", "l.s0", "l.s1", "l.ends", "l.head"), "lines")
+    classes = save(lines.groupBy("cid", "n", "s0", "s1").agg(F.min("id").alias("id"), F.first("ends").alias("ends"), F.first("head").alias("head")), "classes")
+    ends = classes.select("id", "n", "s0", "s1", F.explode("ends").alias("end"))
+    lead = ends.groupBy("end").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("y"), F.count("*").alias("c")).where("c > 1")
+    led = ends.alias("x").join(lead.drop("c"), "end").where(f"x.id > y.id and {_near('x', 'y')}").select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
     led = save(led, "led")
     settled = _verified(docs, led, level)
     release(led)
@@ -107,7 +116,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = classes.select("cid", "n", "s0", "s1", F.col("id").alias("first")).join(sized(gone, 48), "first", "left")
     out = lines.select("id", "cid", "n", "s0", "s1").join(firsts, ["cid", "n", "s0", "s1"]).where("gone or id <> first").select("id.doc_id", "id.line_no")
     out = save(out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("nos")), "repeated")
-    release(lines, classes, gone)
+    release(lines, classes, gone, settled, later)
     return out
 
 
