@@ -119,7 +119,7 @@ def test_decontamination_is_exact(spark):
     segs = decontaminate.segments(list(enumerate(items)))
     for i, t in docs:
         n = decontaminate.normal(t)
-        want = sorted({item for item, c in segs if edits(c.tolist(), [ord(x) for x in n]) <= decontaminate._budget(len(c))})
+        want = sorted({item for item, c in segs if edits(c.tolist(), n.tolist()) <= decontaminate._budget(len(c))})
         assert got[i] == want, i
     assert any(got.values())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +15,22 @@ from .words import mix
 
 Q, EDITS, SEGMENT, STRIDE = 8, 0.1, 100, 50
 #: Characters of benchmark text in one pass; a larger benchmark is matched in as many passes, so a worker's index stays bounded.
-BLOCK_CHARS = 20_000_000
-_NOISE = re.compile(r"[\W_]+")
+BLOCK_CHARS = 2_000_000
+@cache
+def _word_characters() -> np.ndarray:
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
-def normal(text: str | None) -> str:
-    """Small letters and digits with single spaces: case, marks and spacing don't count as edits."""
-    return _NOISE.sub(" ", text.lower()).strip() if text else ""
-
-
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+def normal(text: str | None) -> np.ndarray:
+    """Code points of the small letters and digits, with one space for anything between: case, marks and spacing don't count as edits."""
+    if not text:
+        return np.empty(0, np.uint32)
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    keep = _word_characters()[c]
+    gap = np.zeros(len(c), bool)
+    np.greater(keep[:-1], keep[1:], out=gap[1:])
+    out = np.where(keep, c, np.uint32(32))[keep | gap]
+    return out[:-1] if len(out) and out[-1] == 32 else out
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -43,7 +48,7 @@ def segments(items: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]
     Items too short for the lemma's bound to say anything (under 2 Q characters) are compared as they are, without edits."""
     out = []
     for item, text in items:
-        c = _codes(normal(text))
+        c = normal(text)
         if len(c) <= SEGMENT * 3 // 2:
             out += [(item, c)] if len(c) >= Q else []
         else:
@@ -76,77 +81,112 @@ class Index:
         self.m = np.array([len(c) for _, c in self.segments], np.int64)
         self.k = np.array([_budget(int(m)) for m in self.m], np.int64)
         self.need = np.maximum(1, self.m + 1 - Q * (self.k + 1))
+        # the same bound for q-grams half as long, counted wherever they are in a band's region, spares most alignments
+        self.need_half = self.m + 1 - Q // 2 * (self.k + 1)
+        self.half = [(_grams(c, Q // 2) & np.uint64(4095)).astype(np.int64) for _, c in self.segments]
 
-    def search(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, edits) of every benchmark item of which a segment occurs in the text within its budget.
+    def search(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text the sorted benchmark items of which a segment occurs in it within its budget of edits.
 
         A segment of m characters that occurs with at most k edits shares at least m + 1 - q (k + 1) q-grams with the
         text, on 2k + 1 neighbouring diagonals; so they lie in one of the bands of 2 (2k + 1) diagonals that start every
-        2k + 1 diagonals and overlap by half. Bands with enough are aligned.
+        2k + 1 diagonals and overlap by half. Bands with enough are aligned, all of a batch's at once.
         """
-        codes = _codes(normal(text))
+        found: list[set[int]] = [set() for _ in texts]
+        first: list[tuple[int, int, np.ndarray]] = []
+        later: list[tuple[int, int, np.ndarray]] = []
+        for i, text in enumerate(texts):
+            items: set[int] = set()
+            # the fullest band of an item first: the others only matter if that one fails
+            for _, sg, region in sorted(self._candidates(normal(text)), key=lambda x: -x[0]):
+                (later if self.segments[sg][0] in items else first).append((i, sg, region))
+                items.add(self.segments[sg][0])
+            if len(later) >= 4096 or i == len(texts) - 1:
+                self._settle(first, found)
+                self._settle([x for x in later if self.segments[x[1]][0] not in found[x[0]]], found)
+                first, later = [], []
+        return [sorted(x) for x in found]
+
+    def _settle(self, waiting: list[tuple[int, int, np.ndarray]], found: list[set[int]]) -> None:
+        for at in range(0, len(waiting), 128):
+            part = waiting[at : at + 128]
+            cost = align([self.segments[sg][1] for _, sg, _ in part], [r for _, _, r in part])
+            for (doc, sg, _), c in zip(part, cost.tolist(), strict=True):
+                if c <= self.k[sg]:
+                    found[doc].add(self.segments[sg][0])
+
+    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[float, int, np.ndarray]]:
         h = _grams(codes, Q)
         hit = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]) if len(self.keys) and len(h) else np.empty(0, np.int64)
         if not len(hit):
-            return []
+            return
         k = np.searchsorted(self.keys, h[hit])
         k[k == len(self.keys)] = 0
         good = self.keys[k] == h[hit]
         hit, k = hit[good], k[good]
-        best: dict[int, int] = {}
         work = np.cumsum(self.size[k])
         cuts = np.unique(np.append(np.searchsorted(work, np.arange(0, work[-1] if len(work) else 0, 1_000_000)), len(hit)))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = np.arange(a, b)
-            for item, cost in self._bands(codes, hit, k, part):
-                best[item] = min(cost, best.get(item, cost))
-        return sorted(best.items())
+            # a match that begins in this part may end in the next
+            yield from self._bands(codes, hit, k, a, max(b, int(np.searchsorted(hit, int(hit[b - 1]) + 2 * SEGMENT + 64))))
 
-    def _bands(self, codes: np.ndarray, hit: np.ndarray, k: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int]]:
-        if not len(part):
-            return
-        reach = int(hit[part[-1]]) + 2 * SEGMENT + 64  # a match that begins in this part may end in the next
-        stop = int(np.searchsorted(hit, reach))
-        part = np.arange(part[0], max(stop, part[-1] + 1))
-        n = self.size[k[part]]
-        if not n.sum():
-            return
-        row = np.repeat(np.arange(len(part)), n)
-        entry = np.repeat(self.at[k[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    def _bands(self, codes: np.ndarray, hit: np.ndarray, k: np.ndarray, a: int, b: int) -> Iterator[tuple[float, int, np.ndarray]]:
+        n = self.size[k[a:b]]
+        row = np.repeat(np.arange(a, b), n)
+        entry = np.repeat(self.at[k[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seg = self.seg[entry]
-        many = np.bincount(seg, minlength=len(self.m)) >= self.need
-        live = many[seg]
-        seg, doc, off = seg[live], hit[part][row[live]], self.pos[entry[live]]
+        live = (np.bincount(seg, minlength=len(self.m)) >= self.need)[seg]
+        seg, row, off = seg[live], row[live], self.pos[entry[live]]
         if not len(seg):
             return
         width = 2 * self.k[seg] + 1
-        diag = doc - off + 4 * SEGMENT
-        key = np.concatenate([(seg << 40) + 2 * (diag // width), (seg << 40) + 2 * np.maximum(0, diag // width - 1)])
-        bands, counts = np.unique(key, return_counts=True)
+        band = (hit[row] - off + 4 * SEGMENT) // width
+        key = np.concatenate([(seg << 40) + band, (seg << 40) + np.maximum(0, band - 1)])
+        # a place of the segment counts once in a band, however often the text repeats its q-gram there
+        place = np.concatenate([off, off])
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+        bands, counts = np.unique(key[first], return_counts=True)
         s = bands >> 40
-        enough = counts >= self.need[s]
-        for band, sg in zip(bands[enough].tolist(), s[enough].tolist(), strict=True):
-            low = ((band & ((1 << 40) - 1)) // 2) * int(2 * self.k[sg] + 1) - 4 * SEGMENT
-            m, b = int(self.m[sg]), int(self.k[sg])
-            lo = max(0, low - b)
-            cost = align(self.segments[sg][1], codes[lo : max(lo, low + 2 * (2 * b + 1) + m + b)], b)
-            if cost <= b:
-                yield self.segments[sg][0], cost
-
-
-def align(pattern: np.ndarray, region: np.ndarray, k: int) -> int:
-    """Least edits between the pattern and any substring of the region (which is as long as the pattern and a band's width)."""
-    m, n = len(pattern), len(region)
-    row = np.zeros(n + 1, np.int64)
-    idx = np.arange(n + 1)
-    for i in range(m):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (region != pattern[i]), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - idx) + idx
-        if row.min() > k:
-            return k + 1
-    return int(row.min())
+        enough, half = counts >= self.need[s], None
+        for x, sg, c in zip(bands[enough].tolist(), s[enough].tolist(), counts[enough].tolist(), strict=True):
+            m, e = int(self.m[sg]), int(self.k[sg])
+            low = (x & ((1 << 40) - 1)) * (2 * e + 1) - 4 * SEGMENT
+            start, end = max(0, low - e), max(0, low + 2 * (2 * e + 1) + m + e)
+            if half is None:
+                half = (_grams(codes, Q // 2) & np.uint64(4095)).astype(np.int64)
+            there = np.zeros(4096, bool)
+            there[half[start : end + 1 - Q // 2]] = True
+            if there[self.half[sg]].sum() >= self.need_half[sg]:
+                yield c / m, sg, codes[start:end]
+
+
+def align(patterns: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
+    """For each pattern the least edits between it and any substring of its region, which is as long as the pattern and its
+    band: rows of all tables are filled together."""
+    if not patterns:
+        return np.empty(0, np.int32)
+    count, n = len(patterns), max(map(len, regions))
+    m = np.array([len(p) for p in patterns])
+    p = np.zeros((count, m.max()), np.uint32)
+    r = np.full((count, n), 0xFFFFFFFF, np.uint32)
+    for i, (x, y) in enumerate(zip(patterns, regions, strict=True)):
+        p[i, : len(x)], r[i, : len(y)] = x, y
+    idx = np.arange(n + 1, dtype=np.int32)
+    row, best = np.zeros((count, n + 1), np.int32), np.zeros(count, np.int32)
+    for i in range(p.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (r != p[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= idx
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += idx
+        row = new
+        if (done := m == i + 1).any():
+            best[done] = row[done].min(axis=1)
+    return best
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -171,7 +211,7 @@ def _one(docs: DataFrame, items: list[tuple[int, str | None]], i: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
         for batch in batches:
-            found = [[x for x, _ in index.search(t)] for t in batch.column(at).to_pylist()]
+            found = index.search(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, f"_items{i}"])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _items{i} array<long>")
