@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .common import release, save, sized
 LEAST_WORDS = 5
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
+#: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
+PASSES = 4
 _SPACE = r"[ \t\x0B\f\r]+"
 
 
@@ -34,9 +38,12 @@ def _keys(line: Column, level: Column) -> Column:
     """The line's different words in lower case, as longs that sort by rarity, then hash: 6 bits of class, 57 of hash."""
 
     def key(w):
-        return _let(F.xxhash64(w), lambda h: F.shiftleft(F.get(level, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(level, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), key)))
+    # a single blank splits without a regular expression
+    words = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(F.lower(line), _SPACE)).otherwise(F.split(F.lower(line), " "))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), key)))
 
 
 def _bits(keys: Column, half: int) -> Column:
@@ -99,6 +106,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     raw = docs.select("doc_id", F.explode(F.filter(sets, lambda x: x.isNotNull())).alias("l"))
     lines = save(raw.select(F.struct("doc_id", "l.line_no").alias("id"), "l.cid", "l.n", "l.s0", "l.s1", "l.ends", "l.head"), "lines")
     classes = save(lines.groupBy("cid", "n", "s0", "s1").agg(F.min("id").alias("id"), F.first("ends").alias("ends"), F.first("head").alias("head")), "classes")
+    narrow = save(lines.select("id", "cid", "n", "s0", "s1"), "narrow")
+    release(lines)
     ends = classes.select("id", "n", "s0", "s1", F.explode("ends").alias("end"))
     lead = ends.groupBy("end").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("y"), F.count("*").alias("c")).where("c > 1")
     led = ends.alias("x").join(lead.drop("c"), "end").where(f"x.id > y.id and {_near('x', 'y')}").select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
@@ -106,17 +115,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     settled = _verified(docs, led, level)
     release(led)
     flag = sized(settled.select(F.col("x").alias("id"), F.lit(1).alias("done")), 48)
-    marked = classes.join(flag, "id", "left").select("id", "n", "s0", "s1", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("head").alias("pos", "tok"))
-    x, y = marked.alias("x"), marked.alias("y")
-    rest = x.join(y, F.col("x.tok") == F.col("y.tok")).where(f"if(x.done = 0 and x.id > y.id, {_possible('x', 'y')}, false)").select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    rest = save(rest, "rest")
+    parts = []
+    for turn in range(PASSES):
+        marked = classes.join(flag, "id", "left").select("id", "n", "s0", "s1", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
+        x, y = marked.alias("x"), marked.alias("y")
+        # one condition over both sides, so that both are the same exchange
+        hit = x.join(y, F.col("x.tok") == F.col("y.tok")).where(f"if(x.done = 0 and y.done >= 0 and x.id > y.id, {_possible('x', 'y')}, false)")
+        parts.append(save(hit.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "part"))
+        release(hit)  # nothing saved: its exchange may go
+    rest = save(reduce(DataFrame.union, parts).distinct(), "rest")
+    release(*parts)
     later = _verified(docs, rest, level)
     release(rest)
     gone = save(settled.union(later).select(F.col("x").alias("first"), F.lit(True).alias("gone")), "gone")
     firsts = classes.select("cid", "n", "s0", "s1", F.col("id").alias("first")).join(sized(gone, 48), "first", "left")
-    out = lines.select("id", "cid", "n", "s0", "s1").join(firsts, ["cid", "n", "s0", "s1"]).where("gone or id <> first").select("id.doc_id", "id.line_no")
+    out = narrow.join(firsts, ["cid", "n", "s0", "s1"]).where("gone or id <> first").select("id.doc_id", "id.line_no")
     out = save(out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("nos")), "repeated")
-    release(lines, classes, gone, settled, later)
+    release(narrow, classes, gone, settled, later)
     return out
 
 
