@@ -52,7 +52,7 @@ def test_recall(data):
     for how in ("flat", "sign+sq8", "book+sq8"):
         assert got(S.ivf(S.ivf_lists(v, model, how, 32), q, model, 8, 10, how, 32)) > 0.85
     few = S.ivf(S.ivf_lists(v, model), q, model, 1)
-    assert got(few) < 1
+    assert 0.5 < got(few) <= 1
 
 
 def test_kmeans_edges(spark):

@@ -44,7 +44,7 @@ def codebook(bits: int, d: int, grid: int = 32768, rounds: int = 100) -> tuple[n
         return np.where(mass > 0, (cx[cuts[1:]] - cx[cuts[:-1]]) / np.where(mass > 0, mass, 1), fallback)
 
     cells = -1 + (2 * np.arange(k) + 1) / k
-    c = means(np.concatenate([[0], np.searchsorted(cw[1:], cw[-1] * np.arange(1, k) / k), [grid]]), cells)
+    c = means(np.concatenate([[0], np.searchsorted(cw, cw[-1] * np.arange(1, k) / k), [grid]]), cells)
     for _ in range(rounds):
         b = (c[1:] + c[:-1]) / 2
         edge = np.concatenate([[-1], b, [1]])
