@@ -80,9 +80,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     n is the number of different contexts (so copies of a page count once) that hold both; p(m | term) = n / rows of docs
     with the term; bits = log2(p(m | term) / p(m)). Counts of terms are taken over all documents for candidate terms only.
     """
-    context = found.select(F.explode("near").alias("x")).select(F.lower(F.col("x.m")).alias("m"), F.lower(F.col("x.around")).alias("around"))
-    pairs = context.distinct().select("m", F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0)))).alias("term"))
-    often = save(pairs.groupBy("m", "term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}"), "pairs")
+    near = found.select("h", F.explode("near").alias("x")).select("h", F.lower(F.col("x.m")).alias("m"), F.lower(F.col("x.around")).alias("around"))
+    term = F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0)))).alias("term")
+    context = near.select("m", "around")
+    pairs = context.distinct().select("m", term)
+    # a term is in at least as many documents as in different texts near any entity: words that are common there go early
+    seen = near.select("h", term).distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    often = pairs.groupBy("m", "term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
+    often = save(often.join(seen, "term").where(f"n >= {DISCLOSURE} * seen").drop("seen"), "pairs")
     terms = save(often.select("term").distinct(), "terms")
     if terms.isEmpty():
         return None
