@@ -142,15 +142,15 @@ def test_store(spark, data, tmp_path):
     model = M.kmeans(v, 8, 2)
     lists = S.ivf_lists(v, model, "sign+sq8", 32)
     path = f"{tmp_path}/index"
-    meta = store.IndexMeta("RaBitQIVF", 32, 600, 1, nlist=8)
+    meta = store.IndexMeta("SignIVF", 32, 600, 1, nlist=8)
     store.save_index(spark, path, lists, meta, {"centroids": model})
-    rows, got = store.load_index(spark, path, "RaBitQIVF")
+    rows, got = store.load_index(spark, path, "SignIVF")
     assert got == meta
     a = S.final(S.ivf(lists, q, model, 4, 10, "sign+sq8", 32)).collect()
     b = S.final(S.ivf(rows, q, store.load_model(spark, path, "centroids"), 4, 10, "sign+sq8", 32)).collect()
     assert sorted(a) == sorted(b)
-    with pytest.raises(ValueError, match="RaBitQFlat"):
-        store.load_index(spark, path, "RaBitQFlat")
+    with pytest.raises(ValueError, match="SignFlat"):
+        store.load_index(spark, path, "SignFlat")
     with pytest.raises(ValueError, match="index_type"):
         store.IndexMeta("Tree", 2, 1)
     plan = rows.join(F.broadcast(S.probes(q, model, 2).drop("rank", "dist")), "cluster_id")._jdf.queryExecution().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = ("TurboQuant", "RaBitQFlat", "RaBitQIVF", "TurboQuantIVF")
+KINDS = ("BookFlat", "SignFlat", "SignIVF", "BookIVF")
 
 
 @dataclass

@@ -513,10 +513,10 @@ def delete_antijoin(spark, sf):
     return store.without(e, e.where("vec_id % 10 = 1"))
 
 
-@query("SELECT 'TurboQuant' AS index_type, 64 AS d, count(*) AS ntotal, count(*) AS code_count, count(*) FILTER (vec_id % 3 = 0) AS sq8_count FROM embeddings")
+@query("SELECT 'BookFlat' AS index_type, 64 AS d, count(*) AS ntotal, count(*) AS code_count, count(*) FILTER (vec_id % 3 = 0) AS sq8_count FROM embeddings")
 def store_stats(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.col("label")).alias("code"))
-    return store.stats(rows, store.IndexMeta("TurboQuant", D, rows.count()))
+    return store.stats(rows, store.IndexMeta("BookFlat", D, rows.count()))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label WHEN vec_id % 3 = 0 THEN label + 10 END AS code FROM embeddings")
@@ -659,6 +659,6 @@ def persisted_ivf_knn(spark, sf):
     lists, q, model = _lists(spark, sf, "sign+sq8")
     path = f"{base.rstrip('/')}/vecforge-index-{uuid.uuid4().hex[:12]}"
     n = lists.count()
-    store.save_index(spark, path, lists, store.IndexMeta("RaBitQIVF", D, n, 1, nlist=NLIST, kmeans_niter=ROUNDS), {"centroids": model})
-    rows, _ = store.load_index(spark, path, "RaBitQIVF")
+    store.save_index(spark, path, lists, store.IndexMeta("SignIVF", D, n, 1, nlist=NLIST, kmeans_niter=ROUNDS), {"centroids": model})
+    rows, _ = store.load_index(spark, path, "SignIVF")
     return S.final(S.ivf(rows, q, store.load_model(spark, path, "centroids"), NPROBE, K, "sign+sq8", D, REFINE))
