@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,23 +105,35 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_tokens long, posterior array<double>")
 
 
-def _rate(moves: list[np.ndarray], ahead: bool = False) -> F.Column:
-    """A document's rate after the given steps: r <- max(0, y - p . move), a pure expression of its posterior; ahead: the
-    point of extrapolation y that follows, where the next gradient is taken."""
-    if not moves:
-        return F.lit(1.0)
-    steps = F.from_json(F.lit("[" + ",".join("[" + ",".join(repr(float(x)) for x in m) + "]" for m in moves) + "]"), "array<array<double>>")
-    dot = lambda m: sum((F.get("posterior", F.lit(i)) * F.get(m, F.lit(i + 1)) for i in range(len(DOMAINS))), F.lit(0.0))
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def rates(p: np.ndarray, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p (n, K) after the given steps r <- max(0, y - p . move), and the points of
+    extrapolation y that follow, where the next gradient is taken: pure functions of a document's posterior."""
+    r = y = np.ones(len(p))
+    for m in moves:
+        new = np.maximum(0.0, y - p @ m[1:])
+        r, y = new, new + m[0] * (new - r)
+    return r, y
 
-    def step(s, m):
-        r = F.greatest(F.lit(0.0), s["y"] - dot(m))
-        return F.struct(r.alias("r"), (r + F.get(m, F.lit(0)) * (r - s["r"])).alias("y"))
 
-    return F.aggregate(steps, start, step, lambda s: s["y" if ahead else "r"])
+def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(len(DOMAINS))], axis=1)
 
 
-def fit(scored: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
+def _sums(flat: DataFrame, moves: list[np.ndarray], ahead: bool) -> np.ndarray:
+    """Token totals of each domain at the rates (or at the points of extrapolation): one row from each partition, then their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(DOMAINS))
+        for batch in batches:
+            p = _matrix(batch, 1)
+            total += (batch.column(0).to_numpy(zero_copy_only=False) * rates(p, moves)[ahead]) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(len(total))])
+
+    got = flat.mapInArrow(run, ", ".join(f"s{i} double" for i in range(len(DOMAINS)))).agg(*[F.sum(f"s{i}") for i in range(len(DOMAINS))]).first()
+    return np.array([x or 0.0 for x in got])
+
+
+def fit(flat: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
     """Accelerated projected gradient for min over r >= 0 of sum over k (sum over d r_d t_d p_dk / T - target_k)^2 / 2.
 
     T is the number of tokens, so rates of 1 keep everything. In the metric that weighs a document by its share of tokens
@@ -129,25 +142,24 @@ def fit(scored: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 4
     of K sums, and nothing is kept for each document. Returns the steps and the totals that the rates reach.
     """
     k = len(DOMAINS)
-    p = [F.get("posterior", F.lit(i)) for i in range(k)]
-    first = scored.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+    p = [F.col(f"p{i}") for i in range(k)]
+    first = flat.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
     total = float(first[0] or 0)
     if not total:
         return [], np.zeros(k)
     gram = np.array(first[1:], float).reshape(k, k) / total
     step, goal = 1 / np.linalg.eigvalsh(gram)[-1], np.array(targets)
-    sums = lambda rate: np.array(scored.agg(*[F.sum(F.col("n_tokens") * p[i] * rate) for i in range(k)]).first(), float) / total
     moves: list[np.ndarray] = []
     last, t = None, 1.0
     for _ in range(rounds):
-        at = sums(_rate(moves, ahead=True))
+        at = _sums(flat, moves, True) / total
         nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         moves.append(np.concatenate([[(t - 1) / nxt], step * (at - goal)]))
         t = nxt
         if np.abs(at - goal).max() < tolerance or last is not None and np.abs(at - last).max() < tolerance / 10:
             break
         last = at
-    return moves, sums(_rate(moves))
+    return moves, _sums(flat, moves, False) / total
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -156,6 +168,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     Every row stays, also at rate 0. Null and empty texts have 0 tokens, the labelled shares as posterior, and a rate like any other.
     """
     scored = save(score(docs, train(docs, labels)), "scored")
-    narrow = save(scored.select("n_tokens", "posterior"), "posteriors")
-    moves, _ = fit(narrow, targets)
-    return scored.withColumn("rate", _rate(moves))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    flat = save(scored.select("n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(len(DOMAINS))]), "posteriors")
+    moves, _ = fit(flat, targets)
+
+    @F.pandas_udf("double")
+    def rate(*p: pd.Series) -> pd.Series:
+        return pd.Series(rates(np.stack([x.to_numpy() for x in p], axis=1), moves)[0])
+
+    return scored.withColumn("rate", rate(*[F.get("posterior", F.lit(i)) for i in range(len(DOMAINS))]))
