@@ -55,6 +55,12 @@ def test_recall(data):
     assert 0.5 < got(few) <= 1
 
 
+def test_batch_form_agrees(data):
+    v, q = data
+    key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in df.collect())
+    assert key(S.exact_batch(v, q, 7)) == key(S.exact(v, q, 7))
+
+
 def test_kmeans_edges(spark):
     few = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(3)], "vec_id long, x array<double>")
     model = M.kmeans(few, 16, 2)
