@@ -82,6 +82,17 @@ def test_disclosing_terms(spark):
     assert red == "call [email] now"
 
 
+def test_disclosing_terms_count_different_texts(spark):
+    copied = [(10 * i + j, f"page {i} Quillfeather answers at quill@example.org") for i in range(5) for j in range(3)]
+    far = [(100 + i, f"page {i} {'so it is ' * 20} Marblestone {'so it is ' * 20} mail to marble@example.net") for i in range(5)]
+    rows = [*copied, *far, *((200 + i, f"nothing of note {i}") for i in range(300))]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:20]:
+        for w in ("Quillfeather", "Marblestone"):
+            assert (f"term:{t.find(w)}:{t.find(w) + len(w)}" in got[i]) == (w in t), (i, w)
+    assert all(got[i] == [""] for i, _ in rows[20:])
+
+
 def test_edges(spark, edge):
     for out in (secrets.scan(edge), pii.scan(edge), pseudo_lm.score(edge), langid.identify(edge)):
         assert out.count() == len(EDGE)

@@ -14,9 +14,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Letters around a span in which terms count as its context.
-CONTEXT = 80
-#: A pair of term and entity must occur in so many different contexts,
+#: A pair of term and entity must occur in so many different texts,
 SUPPORT = 3
 #: and the entity must follow from the term with at least this probability, and the term raise it by so many bits.
 DISCLOSURE, BITS = 0.5, 4.0
@@ -74,28 +72,45 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(m, term, n, bits): terms near the entity m that reveal it, over the whole corpus; None if there are none.
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by a blank."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, x):
+        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(" "))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(piece).alias("out"))
+
+    rest = F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
 
-    n is the number of different contexts (so copies of a page count once) that hold both; p(m | term) = n / rows of docs
-    with the term; bits = log2(p(m | term) / p(m)). Counts of terms are taken over all documents for candidate terms only.
+
+def disclosing_terms(found: DataFrame) -> DataFrame | None:
+    """(m, term, n, bits): terms that reveal the entity m, over the whole corpus; None if there are none.
+
+    n is the number of different texts (so copies of a page count once) that hold both anywhere, the term outside of
+    entities; p(m | term) = n / different texts with the term; bits = log2(p(m | term) / p(m)), p(m) by rows. Texts with
+    a term are counted over all documents for candidate terms only.
     """
-    near = found.select("h", F.explode("near").alias("x")).select("h", F.lower(F.col("x.m")).alias("m"), F.lower(F.col("x.around")).alias("around"))
-    term = F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0)))).alias("term")
-    context = near.select("m", "around")
-    pairs = context.distinct().select("m", term)
-    # a term is in at least as many documents as in different texts near any entity: words that are common there go early
-    seen = near.select("h", term).distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_WORD), F.lit(0)))
+    held = found.where("size(ms) > 0").select("h", F.explode("ms").alias("m"))
+    total = max(1, found.count())
+    # n is at most the texts with m, and p at most 1: other entities cannot reach the least support or bits
+    own = held.groupBy("m").agg(F.count("*").alias("own"), F.count_distinct("h").alias("texts"))
+    own = save(own.where((F.col("texts") >= SUPPORT) & (F.col("own") * 2**BITS <= total)).drop("texts"), "entities")
+    holders = save(held.join(sized(own, 128), "m", "left_semi").groupBy("h").agg(F.collect_set("m").alias("own_ms")), "holders")
+    once = found.where("size(ms) > 0").select("h", "rest").join(sized(holders, 256), "h").dropDuplicates(["h"])
+    once = save(once.select("own_ms", words.alias("words")), "once")
+    pairs = once.select("own_ms", F.explode("words").alias("term")).select(F.explode("own_ms").alias("m"), "term")
+    # a term is in at least as many texts as in those with any such entity: words that are common there go early
+    seen = once.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
     often = pairs.groupBy("m", "term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
     often = save(often.join(seen, "term").where(f"n >= {DISCLOSURE} * seen").drop("seen"), "pairs")
     terms = save(often.select("term").distinct(), "terms")
     if terms.isEmpty():
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    df = words.join(sized(terms, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    own = context.groupBy("m").agg(F.count("*").alias("own"))
-    total = max(1, found.count())
-    out = often.join(df, "term").join(own, "m").withColumn("p", F.least(F.lit(1.0), F.col("n") / F.col("df"))).withColumn("bits", F.log2(F.col("p") * total / F.col("own")))
+    texts = found.select("h", F.explode(words).alias("term")).join(sized(terms, 64), "term", "left_semi")
+    df = texts.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    out = often.join(df, "term").join(own, "m").withColumn("p", F.col("n") / F.col("df")).withColumn("bits", F.log2(F.col("p") * total / F.col("own")))
     out = save(out.where(f"p >= {DISCLOSURE} and bits >= {BITS}").select("m", "term", "n", "bits"), "disclosing")
     return None if out.isEmpty() else out
 
@@ -108,12 +123,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     full = text.withColumn("b", _base(F.col("text")))
-    near = F.transform("b", lambda x: F.struct(x["m"].alias("m"), F.concat_ws(" ", F.substring("text", F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(x["start"], F.lit(CONTEXT))), F.substring("text", x["end"] + 1, F.lit(CONTEXT))).alias("around")))
-    found = save(full.select("doc_id", F.when(F.size("b") > 0, F.xxhash64("text")).alias("h"), F.transform("b", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("base"), near.alias("near")), "found")
-    terms = disclosing_terms(text, found)
+    base = F.transform("b", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    ms = F.array_distinct(F.transform("b", lambda x: F.lower(x["m"])))
+    found = save(full.select("doc_id", F.xxhash64("text").alias("h"), base.alias("base"), ms.alias("ms"), _without(F.col("text"), F.col("b")).alias("rest")), "found")
+    terms = disclosing_terms(found)
     if terms is None:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    held = found.where("h is not null").select("h", F.explode("near.m").alias("m")).select("h", F.lower("m").alias("m")).distinct()
+    held = found.where("size(ms) > 0").select("h", F.explode("ms").alias("m")).distinct()
     own = save(held.join(sized(terms, 128), "m").groupBy("h").agg(F.array_sort(F.collect_set("term")).alias("terms")), "own")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:\Q"), F.array_join("terms", r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{M}])"))
     more = text.withColumn("h", F.xxhash64("text")).join(sized(own, 256), "h").dropDuplicates(["h"]).select("h", F.transform(_found(F.col("text"), pattern, F.lit(True)), lambda x: F.struct(x["s"].alias("start"), F.lit(4).alias("kind"), x["e"].alias("end"))).alias("more"))
