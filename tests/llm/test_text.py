@@ -169,6 +169,12 @@ def test_line_dedup_is_exact(spark):
             assert out[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, []))
 
 
+def test_short_lines_are_matched(spark):
+    docs = [(1, "Read more\none two three four\n\nalone"), (2, "read  MORE\none two three four five\n\n\tRead"), (3, "more read read\none two three\nfour three two one\n ")]
+    got = {x["doc_id"]: x["nos"] for x in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {2: [0, 1], 3: [0, 2]}
+
+
 def test_language_held_out(spark):
     r = random.Random(2)
     words = {"en": "the of and house water from with under ship".split(), "de": "der die und haus wasser von mit unter schiff über".split(), "fr": "le la et maison eau de avec sous navire été".split()}

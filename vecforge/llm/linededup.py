@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import release, save, sized
 
-#: Lines of fewer different words are left alone: they hold too little to be called copies.
-LEAST_WORDS = 5
+#: Lines of fewer different words match nothing: only those without a word.
+LEAST_WORDS = 1
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
 #: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
@@ -95,7 +95,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, nos): for each document that has any, the numbers (from 0) of its lines that match an earlier line.
 
     Lines are ordered by doc_id, then number. Two lines match if their sets of lower-case words have a Jaccard similarity
-    of at least 0.8; lines of under LEAST_WORDS different words match nothing. Equal sets form a class, represented by
+    of at least 0.8; lines without a word match nothing. Equal sets form a class, represented by
     its first line. Classes are first compared with the earliest line that has the same least or greatest word hash, which
     settles most members of large groups; the rest are compared with all earlier classes that share a prefix word. Rows without text or doc_id have no lines;
     rows that repeat a doc_id count as one document.
