@@ -69,6 +69,18 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert set(spans.values()) == {""}
 
 
+def test_every_long_token_is_tested(spark):
+    r = random.Random(12)
+    value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    lower = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    words = ["incomprehensibilities", "internationalization", "counterrevolutionary", "uncharacteristically", "electroencephalograph"]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(60)] + [f"set AUTH={value}== now", f"see {lower} here"]
+    got = secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), secrets.KINDS, 3).collect()
+    spans = {x["doc_id"]: x["spans"] for x in got}
+    assert spans.pop(60) == "random:9:51" and spans.pop(61) == "random:4:44"
+    assert set(spans.values()) == {""}
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"note {i} about {w} kind Zubrowski writes from zub@example.org about {w} things") for i, w in enumerate("alpha bravo carol delta echos foxes golfs hotel".split())]
     rows += [(100 + i, "nothing about anyone here at all kind things note writes from") for i in range(200)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate is cut at each '=' inside it; those at its end are padding of the last token.
+TOKEN, TOKEN_LEAST = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?"), 16
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 _CODE = np.full((len(ALPHABETS), 256), -1, np.int16)
@@ -94,20 +97,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(t)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             own = []
-            for m in CANDIDATE.finditer(t):
+            for m in (m for c in CANDIDATE.finditer(t) for m in TOKEN.finditer(t, c.start(), c.end())):
                 w = m[0]
-                n, stat = len(w), 0.0
+                if (n := len(w)) < TOKEN_LEAST:
+                    continue
+                _, stat = battery(w)
+                key = (length_bin(n), min(799, int(8 * stat)))
                 if natural(w):
-                    _, stat = battery(w)
-                    key = (length_bin(n), min(799, int(8 * stat)))
                     null[key] = null.get(key, 0) + 1
-                    continue
-                kind, stat = battery(w)
-                if stat >= 99 or not any(c.isdigit() for c in w) and kind < 3:
-                    continue
                 if any(s < m.end() and m.start() < e for s, _, e in spans):
                     continue
-                own.append({"start": m.start(), "end": m.end(), "len_bin": length_bin(n), "stat": min(799, int(8 * stat))})
+                h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "big", signed=True) if natural(w) else None
+                own.append({"start": m.start(), "end": m.end(), "len_bin": key[0], "stat": key[1], "word": h})
             found.append(own)
         first = [[{"len_bin": a, "stat": b, "n": c} for (a, b), c in null.items()]] + [[]] * (len(texts) - 1) if texts else []
         yield pa.RecordBatch.from_arrays([ids, pa.array(base, _BASE), pa.array(found, _FOUND), pa.array(first, _NULL)], ["doc_id", "base", "found", "null_bins"])
@@ -115,27 +116,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _I = pa.int32()
 _BASE = pa.list_(pa.struct([("start", _I), ("kind", _I), ("end", _I)]))
-_FOUND = pa.list_(pa.struct([("start", _I), ("end", _I), ("len_bin", _I), ("stat", _I)]))
+_FOUND = pa.list_(pa.struct([("start", _I), ("end", _I), ("len_bin", _I), ("stat", _I), ("word", pa.int64())]))
 _NULL = pa.list_(pa.struct([("len_bin", _I), ("stat", _I), ("n", _I)]))
 
 
-def thresholds(null: dict[tuple[int, int], int], seen: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
+def thresholds(null: dict[tuple[int, int], int], seen: dict[tuple[int, int], int], rate: float, least: float = 200) -> dict[int, int]:
     """Length bin -> largest statistic that is reported.
 
-    p(length, stat) is the share of natural words of that length (and all longer bins pooled with it until 200 words are
-    held, or all words) that look at least as random, add-one smoothed. Benjamini-Hochberg over all candidates of all
-    lengths at once picks the largest p with p * tested <= rate * rejected.
+    p(length, stat) is the share of natural words of that length (and of the nearest lengths pooled with it until least
+    words are held, or all words) that look at least as random, add-one smoothed. Benjamini-Hochberg over all candidates of all lengths at once picks the largest p with
+    p * tested <= rate * rejected.
     """
+    tested = sum(seen.values())
     bins = sorted({b for b, _ in [*null, *seen]})
     pooled: dict[int, np.ndarray] = {}
     for b in bins:
         h = np.zeros(800)
         for near in sorted({x for x, _ in null}, key=lambda x: (abs(x - b), x)):
             h += np.bincount([s for (x, s) in null if x == near], [c for (x, s), c in null.items() if x == near], 800)
-            if h.sum() >= 200:
+            if h.sum() >= least:
                 break
         pooled[b] = (np.cumsum(h) + 1) / (h.sum() + 1)
-    tested = sum(seen.values())
     ranked = sorted((float(pooled[b][s]), c) for (b, s), c in seen.items())
     best, done = 0.0, 0
     for p, c in ranked:
@@ -149,7 +150,8 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """(doc_id, base, spans) for each row: base and all spans as arrays of (start, kind, end), sorted by start, then kind.
 
     Offsets count code points, ends are exclusive. Kind 3 ('random') holds tokens of 16 or more letters that overlap no
-    fixed pattern and pass the battery at the false-discovery rate; the null distribution and the ranks are counted over
+    fixed pattern and pass the battery at the false-discovery rate; all such tokens are tested. Those of the shape of a
+    natural word are a family of their own, a hypothesis for each different one, and count in the null distribution. The null distribution and the ranks are counted over
     all documents, as histograms of at most 41 x 800 cells. Null and empty texts have no spans.
     """
     spark = docs.sparkSession
@@ -157,15 +159,18 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     found = save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             _scan,
-            "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,len_bin:int,stat:int>>, null_bins array<struct<len_bin:int,stat:int,n:int>>",
+            "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,len_bin:int,stat:int,word:bigint>>, null_bins array<struct<len_bin:int,stat:int,n:int>>",
         ),
         "secrets",
     )
     null = {(r[0], r[1]): r[2] for r in found.select(F.explode("null_bins").alias("x")).groupBy("x.len_bin", "x.stat").agg(F.sum("x.n")).collect()}
-    seen = {(r[0], r[1]): r[2] for r in found.select(F.explode("found").alias("x")).groupBy("x.len_bin", "x.stat").count().collect()}
+    tokens = found.select(F.explode("found").alias("x")).select("x.*")
+    count = lambda df: {(r[0], r[1]): r[2] for r in df.groupBy("len_bin", "stat").count().collect()}
+    seen, words = count(tokens.where("word is null")), count(tokens.where("word is not null").select("word", "len_bin", "stat").distinct())
     limit = thresholds(null, seen, rate) if seen else {}
-    cut = F.create_map(*[F.lit(v) for kv in limit.items() for v in kv]) if limit else None
-    extra = F.filter("found", lambda x: x["stat"] <= F.coalesce(cut[x["len_bin"]], F.lit(-1))) if limit else F.filter("found", lambda x: F.lit(False))
+    limit_words = thresholds(null, words, rate, max(200, sum(words.values()) / rate)) if words else {}
+    cut = lambda of, x: F.coalesce(F.create_map(*[F.lit(v) for kv in of.items() for v in kv])[x["len_bin"]], F.lit(-1)) if of else F.lit(-1)
+    extra = F.filter("found", lambda x: x["stat"] <= F.when(x["word"].isNull(), cut(limit, x)).otherwise(cut(limit_words, x)))
     more = F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
