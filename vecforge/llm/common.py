@@ -55,7 +55,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, statistics are known, a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -9,24 +9,40 @@ from pyspark.sql import functions as F
 
 from .common import release, save, sized
 
-#: Lines of fewer different words match nothing: only those without a word.
-LEAST_WORDS = 1
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
 #: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
-PASSES = 4
+PASSES = 2
+#: Turns in which classes are compared with one earlier class that has the same extreme words, before the exact join of the rest.
+LEADS = 3
 _SPACE = r"[ \t\x0B\f\r]+"
+_ID = ["doc_id", "line_no", "th"]
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each counter (word hash mod COUNTERS) the logarithmic class of its words' total count over all documents."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("w")).where("w <> ''")
-    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).groupBy("c").count()
-    packed = counts.select((F.col("c") * 64 + F.least(F.lit(63), F.floor(F.log(F.col("count")) / 0.4))).alias("x")).agg(F.collect_list("x")).first()[0]
-    level = [0] * COUNTERS
-    for x in packed:
-        level[x // 64] = x % 64
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
+def _words(line: Column) -> Column:
+    """The words of a line, or of a text, in lower case; a single blank splits without a regular expression."""
+    low = F.lower(line)
+    return F.array_remove(F.when(line.rlike(r"[\t\n\x0B\f\r]"), F.split(low, r"[ \t\n\x0B\f\r]+")).otherwise(F.split(low, " ")), "")
+
+
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row (level): for each counter (word hash mod COUNTERS) the logarithmic class, 0 to 63, of its words' total count over
+    all documents, in the place where keys have it. Only the order of words depends on it, so blanks alone part words here and capitals count apart."""
+    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).count()
+    every = counts.union(docs.sparkSession.range(COUNTERS).select("id", F.lit(1).cast("long")))
+    level = every.groupBy("c").agg(F.shiftleft(F.least(F.lit(63), F.floor(F.log(F.sum("count")) / 0.4)).cast("long"), 57).alias("v"))
+    return save(level.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("level")), "rarity")
+
+
+def _keys(words: Column, level: Column) -> Column:
+    """The different words as longs that sort by rarity, then hash: 6 bits of class, 57 of hash."""
+
+    def key(h):
+        rank = F.coalesce(F.get(level, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0).cast("long"))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
 
 
 def _let(value: Column, body) -> Column:
@@ -34,31 +50,29 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _keys(line: Column, level: Column) -> Column:
-    """The line's different words in lower case, as longs that sort by rarity, then hash: 6 bits of class, 57 of hash."""
-
-    def key(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(level, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+def _parity(keys: Column, half: bool) -> Column:
+    """64 bits, each the parity of the number of words (of all, or of half of them) that hash to it."""
+    one = F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one) if half else one, k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
-    # a single blank splits without a regular expression
-    words = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(F.lower(line), _SPACE)).otherwise(F.split(F.lower(line), " "))
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), key)))
 
+def _numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, th (the hash of the text), line_no and line, without a copy of the text beside each line."""
+    return docs.select("doc_id", *more, F.xxhash64("text").alias("th"), "text").select("doc_id", "th", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
-def _bits(keys: Column, half: int) -> Column:
-    """64 of the 128 bits of a set's bitmap: two sets differ in at least as many words as in bits."""
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    bit = lambda k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, one(k)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
 
-
-def _line(i: Column, keys: Column) -> Column:
-    """What the join needs of a line: its number, its set's hash, size and bitmap, the prefix, and the least and greatest word hash."""
-    n = F.size(keys)
-    hashes = F.transform(keys, lambda k: F.shiftleft(k, 7))
-    head = F.slice(keys, F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1)
-    return F.struct(i.alias("line_no"), F.xxhash64(keys).alias("cid"), n.alias("n"), _bits(keys, 0).alias("s0"), _bits(keys, 1).alias("s1"), F.array(F.array_min(hashes), F.array_max(hashes)).alias("ends"), head.alias("head"))
+def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
+    """What the join needs of each line with a word: its id (doc_id, line_no, th), its set's hash cid, size n, parities, the prefix head, and ends, hashes of the two least and the two greatest words of the set's rarer half in an order by hash."""
+    lines = _numbered(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+    keys = lines.select(*_ID, _words(F.col("line")).alias("words"), level.scalar().alias("level")).select(*_ID, _keys(F.col("words"), F.col("level")).alias("keys"))
+    n = F.size("keys")
+    mixed = F.sort_array(F.transform(F.slice("keys", F.lit(1), F.floor((n + 3) / 2).cast("int")), lambda k: F.shiftleft(k, 7)))
+    return keys.select(*_ID, "keys", mixed.alias("mixed")).select(
+        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), _parity(F.col("keys"), False).alias("p0"), _parity(F.col("keys"), True).alias("p1"),
+        F.array(F.xxhash64(F.slice("mixed", 1, 2)), F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), F.size("mixed") - 1), F.lit(2)), F.lit(1))).alias("ends"),
+        F.slice("keys", F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1).alias("head"),
+    )
 
 
 #: a and b words can reach a similarity of 0.8 only by sharing 4 (a + b) / 9 of them.
@@ -66,85 +80,116 @@ _OVERLAP = "((4 * ({a} + {b}) + 8) div 9)"
 
 
 def _near(x: str, y: str) -> str:
-    """Length and bitmap filter of two sets."""
-    need = _OVERLAP.format(a=f"{x}.n", b=f"{y}.n")
-    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1) <= {x}.n + {y}.n - 2 * {need})"
-
-
-def _possible(x: str, y: str) -> str:
-    """Length, bitmap, prefix and positional filter of a common word at x.pos and y.pos. The first common word of a similar pair passes all of them."""
-    need = _OVERLAP.format(a=f"{x}.n", b=f"{y}.n")
-    prefix = lambda s, o: f"if({s}.n < {o}.n or ({s}.n = {o}.n and {s}.id < {o}.id), {s}.pos < {s}.n - (8 * {s}.n + 8) div 9 + 1, true)"
-    return f"({_near(x, y)} and {prefix(x, y)} and {prefix(y, x)} and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need})"
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, level: Column) -> DataFrame:
-    """Those of pairs (x, y), ids of lines, whose word sets have a Jaccard similarity of at least 0.8."""
-    ids = save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
-    wanted = save(ids.groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.collect_set("id.line_no").alias("nos")), "wanted")
-    hit = docs.join(sized(wanted, 48), "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("nos", F.col("line_no")))
-    sets = save(hit.select(F.struct("doc_id", "line_no").alias("id"), _keys(F.col("line"), level).alias("keys")).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("keys").alias("kx")), "x").join(sets.select(F.col("id").alias("y"), F.col("keys").alias("ky")), "y")
-    common = F.size(F.array_intersect("kx", "ky"))
-    out = save(both.where(10 * common >= 8 * (F.size("kx") + F.size("ky") - common)).select("x").distinct(), "matched")
-    release(ids, wanted, sets)
+    """Length and parity filter of two sets: the 128 parities of both halves of the words differ in at most as many bits as the sets in words."""
+    most = f"({x}.n + {y}.n - 2 * {_OVERLAP.format(a=f'{x}.n', b=f'{y}.n')})"
+    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and bit_count({x}.p1 ^ {y}.p1) + bit_count({x}.p0 ^ {x}.p1 ^ {y}.p0 ^ {y}.p1) <= {most})"
+
+
+def _earlier(y: str, x: str) -> str:
+    return f"({y}.doc_id < {x}.doc_id or {y}.doc_id = {x}.doc_id and {y}.line_no < {x}.line_no)"
+
+
+def _possible(s: str, g: str) -> str:
+    """Length, positional and parity filter of a word of the smaller set's index prefix that is in the greater set's prefix too.
+    The first common word of a similar pair passes all of them."""
+    need = _OVERLAP.format(a=f"{s}.n", b=f"{g}.n")
+    order = f"({s}.n < {g}.n or {s}.n = {g}.n and {_earlier(s, g)})"
+    return f"({order} and least({s}.n - {s}.pos, {g}.n - {g}.pos) >= {need} and {_near(s, g)})"
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines (doc_id, line_no, th) that have a pair (doc_id, line_no, y_doc, y_line) whose word sets, compared word by word, have a Jaccard similarity of at least 0.8."""
+    x, y = pairs.select("doc_id", "line_no"), pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line_no"))
+    wanted = save(x.union(y).groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")), "wanted")
+    hit = _numbered(docs.join(sized(wanted, 64), "doc_id"), "nos")
+    sets = save(hit.where(F.array_contains("nos", F.col("line_no"))).select(*_ID, "line").distinct(), "sets")
+    other = sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y_text"))
+    both = pairs.join(sets, ["doc_id", "line_no"]).join(other, ["y_doc", "y_line"])
+
+    def similar(p: Column) -> Column:
+        return _let(F.size(F.array_intersect(p["a"], p["b"])), lambda common: 10 * common >= 8 * (F.size(p["a"]) + F.size(p["b"]) - common))
+
+    words = lambda c: F.array_distinct(_words(F.col(c)))
+    out = save(both.where(_let(F.struct(words("line").alias("a"), words("y_text").alias("b")), similar)).select(*_ID).distinct(), "matched")
+    release(wanted, sets)
     return out
 
 
+def _led(docs: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """Settles most members of large groups: each turn compares the classes that share an end with the earliest of them that has not led yet, one pair for each class."""
+    struct = F.struct("doc_id", "line_no", "n", "p0", "p1")
+    own = classes.select(*_ID, "n", "p0", "p1", F.explode("ends").alias("end"))
+    shared = save(own.groupBy("end").count().where("count > 1").select("end"), "shared")
+    rows, found = save(own.join(sized(shared, 16), "end"), "rows"), []
+    release(shared)
+    for _ in range(LEADS):
+        lead = rows.groupBy("end").agg(F.min(struct).alias("y"))
+        led = save(rows.alias("x").join(lead, "end").where(_earlier("y", "x")).select("x.*", "y"), "led")
+        release(rows)
+        pairs = led.alias("x").where(_near("x", "y")).groupBy("x.doc_id", "x.line_no").agg(F.min("y").alias("y"))
+        pairs = save(pairs.select("doc_id", "line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")), "pairs")
+        if pairs.isEmpty():
+            release(led, pairs)
+            return found
+        found.append(_verified(docs, pairs))
+        rows = save(led.drop("y").join(sized(found[-1], 32), _ID, "left_anti"), "rows")
+        release(led, pairs)
+    release(rows)
+    return found
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, nos): for each document that has any, the numbers (from 0) of its lines that match an earlier line.
+    """(doc_id, th, nos): for each document that has any, the numbers (from 0) of its lines that match an earlier line; th is the hash of its text.
 
     Lines are ordered by doc_id, then number. Two lines match if their sets of lower-case words have a Jaccard similarity
-    of at least 0.8; lines without a word match nothing. Equal sets form a class, represented by
-    its first line. Classes are first compared with the earliest line that has the same least or greatest word hash, which
-    settles most members of large groups; the rest are compared with all earlier classes that share a prefix word. Rows without text or doc_id have no lines;
-    rows that repeat a doc_id count as one document.
+    of at least 0.8; lines without a word match nothing. Equal sets form a class, represented by its first line. Words are
+    ordered by rarity over all documents; classes that share a word of their prefixes and pass the length, positional and
+    parity filters are compared word by word. Before that, classes that share extreme words are compared with leaders, so
+    that members of a large group of near copies need one comparison or a few. Null or empty texts have no lines, and rows
+    without doc_id take no part; lines of the same number in rows that repeat a doc_id are not earlier than each other
+    unless they are equal sets of words, of which one stays. Very long lines and texts are lines like any other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     level = rarity(docs)
-    sets = F.transform(F.split("text", "\n"), lambda line, i: _let(_keys(line, level), lambda k: F.when(F.size(k) >= LEAST_WORDS, _line(i, k))))
-    raw = docs.select("doc_id", F.explode(F.filter(sets, lambda x: x.isNotNull())).alias("l"))
-    lines = save(raw.select(F.struct("doc_id", "l.line_no").alias("id"), "l.cid", "l.n", "l.s0", "l.s1", "l.ends", "l.head"), "lines")
-    classes = save(lines.groupBy("cid", "n", "s0", "s1").agg(F.min("id").alias("id"), F.first("ends").alias("ends"), F.first("head").alias("head")), "classes")
-    narrow = save(lines.select("id", "cid", "n", "s0", "s1"), "narrow")
-    release(lines)
-    ends = classes.select("id", "n", "s0", "s1", F.explode("ends").alias("end"))
-    lead = ends.groupBy("end").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("y"), F.count("*").alias("c")).where("c > 1")
-    led = ends.alias("x").join(lead.drop("c"), "end").where(f"x.id > y.id and {_near('x', 'y')}").select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    led = save(led, "led")
-    settled = _verified(docs, led, level)
-    release(led)
-    flag = sized(settled.select(F.col("x").alias("id"), F.lit(1).alias("done")), 48)
+    lines = save(_lines(docs, level), "lines")
+    key = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+    same = ["cid", "n", "p0", "p1"]
+    again = save(lines.groupBy(*same).agg(F.min(key.cast("decimal(38,0)")).alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"), "again")
+    marked = lines.join(sized(again, 64), same, "left").withColumn("later", F.coalesce(key.cast("decimal(38,0)") > F.col("first"), F.lit(False)))
+    marked = save(marked.drop("first"), "marked")
+    classes, equal = marked.where("not later").drop("later"), marked.where("later").select(*_ID)
+    release(lines, level, again)
+    found = _led(docs, classes)
+    flag = sized(save(reduce(DataFrame.union, found), "settled"), 32).withColumn("done", F.lit(1)) if found else None
+    own = classes.withColumn("done", F.lit(0)) if flag is None else classes.join(flag, _ID, "left").withColumn("done", F.coalesce("done", F.lit(0)))
     parts = []
     for turn in range(PASSES):
-        marked = classes.join(flag, "id", "left").select("id", "n", "s0", "s1", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
-        x, y = marked.alias("x"), marked.alias("y")
-        # one condition over both sides, so that both are the same exchange
-        hit = x.join(y, F.col("x.tok") == F.col("y.tok")).where(f"if(x.done = 0 and y.done >= 0 and x.id > y.id, {_possible('x', 'y')}, false)")
-        parts.append(save(hit.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "part"))
+        words = own.select("doc_id", "line_no", "n", "p0", "p1", "done", F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
+        small = words.where("pos < n - (8 * n + 8) div 9 + 1")
+        hit = small.alias("s").join(words.alias("g"), F.col("s.tok") == F.col("g.tok")).where(_possible("s", "g"))
+        late = F.expr(_earlier("g", "s"))
+        pick = lambda c, first, second: F.when(late, F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}"))
+        hit = hit.where(pick("done", "s", "g") == 0).select(pick("doc_id", "s", "g").alias("doc_id"), pick("line_no", "s", "g").alias("line_no"), pick("doc_id", "g", "s").alias("y_doc"), pick("line_no", "g", "s").alias("y_line"))
+        parts.append(save(hit.distinct(), "part"))
         release(hit)  # nothing saved: its exchange may go
     rest = save(reduce(DataFrame.union, parts).distinct(), "rest")
     release(*parts)
-    later = _verified(docs, rest, level)
-    release(rest)
-    gone = save(settled.union(later).select(F.col("x").alias("first"), F.lit(True).alias("gone")), "gone")
-    firsts = classes.select("cid", "n", "s0", "s1", F.col("id").alias("first")).join(sized(gone, 48), "first", "left")
-    out = narrow.join(firsts, ["cid", "n", "s0", "s1"]).where("gone or id <> first").select("id.doc_id", "id.line_no")
-    out = save(out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("nos")), "repeated")
-    release(narrow, classes, gone, settled, later)
+    found.append(_verified(docs, rest))
+    out = save(reduce(DataFrame.union, [equal, *found]).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("nos")), "repeated")
+    release(marked, rest, *found)
     return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with n_lines, n_removed and the text without its repeated lines (a null text stays null)."""
-    nos = repeated_lines(docs)
-    docs = docs.drop("n_lines", "n_removed")
-    key = F.col("doc_id").cast("long")
-    joined = docs.join(sized(nos.select(F.col("doc_id").alias("_id"), F.col("nos").alias("_nos")), 96), key == F.col("_id"), "left")
+    """docs with n_lines, n_removed and the text without its repeated lines (a null text stays null, and has no lines)."""
+    nos = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("nos").alias("_nos"))
+    docs = docs.drop("n_lines", "n_removed", "_id", "_th", "_nos")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    joined = docs.join(sized(nos, 96), same, "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_nos", i)), "\n")
     out = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.when(F.col("text").isNotNull(), F.size("_nos")), F.lit(0)), "text": F.when(F.col("_nos").isNull(), F.col("text")).otherwise(kept)})
-    return out.drop("_id", "_nos")
+    return out.drop("_id", "_th", "_nos")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
