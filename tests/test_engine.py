@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vecforge.functions import sql
 from vecforge.functions import text as T
 from vecforge.functions import vector as V
+from vecforge.operators import engine as E
 from vecforge.operators import graph, polar, quantize, store, transforms
 from vecforge.operators import models as M
 from vecforge.operators import search as S
@@ -43,22 +44,57 @@ def test_recall(data):
     v, q = data
     truth = S.exact(v, q, 10).cache()
     got = lambda r: S.recall(r, truth, 10).first()["recall"]
-    assert got(S.sq8_flat(v, q)) > 0.9
-    assert got(S.sign_flat(v, q, 32, 10, 10)) > 0.85
-    assert got(S.book_flat(v, q, 4, 32)) > 0.5
-    assert got(S.book_flat(v, q, 4, 32, 10, 10)) > 0.9
-    assert got(S.book_flat(v, q, 6, 32)) > 0.8
-    model = M.kmeans(v, 8, 3)
-    for how in ("flat", "sign+sq8", "book+sq8"):
-        assert got(S.ivf(S.ivf_lists(v, model, how, 32), q, model, 8, 10, how, 32)) > 0.85
-    few = S.ivf(S.ivf_lists(v, model), q, model, 1)
-    assert 0.5 < got(few) <= 1
-
-
-def test_batch_form_agrees(data):
+    assert got(E.search(E.build(v, "SQ8Flat", 32), q)) > 0.9
+    assert got(E.search(E.build(v, "SignFlat", 32), q)) > 0.85
+    assert got(E.search(E.build(v, "BookFlat", 32), q, refine=0)) > 0.5
+    assert got(E.search(E.build(v, "BookFlat", 32), q)) > 0.9
+    assert got(E.search(E.build(v, "BookFlat", 32, 6), q, refine=0)) > 0.8
+    cents = np.array(M.kmeans(v, 8, 3).first()["ms"])
+    for kind in ("RawIVF", "SignIVF", "BookIVF"):
+        assert got(E.search(E.build(v, kind, 32, centroids=cents), q, 10, 8)) > 0.85
+    assert 0.5 < got(E.build(v, "RawIVF", 32, centroids=cents).search(q, nprobe=1)) <= 1
+    with pytest.raises(ValueError, match="kind"):
+        E.build(v, "Tree", 32)
+    with pytest.raises(ValueError, match="at least"):
+        E.build(v, "RawFlat", 32).search(q, 0)
+
+
+def test_block_form_agrees(data):
     v, q = data
     key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in df.collect())
-    assert key(S.exact_batch(v, q, 7)) == key(S.exact(v, q, 7))
+    assert key(E.build(v, "RawFlat", 32).search(q, 7)) == key(S.exact(v, q, 7))
+    assert key(E.build(v, "RawIVF", 32, nlist=6, rounds=2).search(q, 7, nprobe=6)) == key(S.exact(v, q, 7))
+    few = E.build(v.where("vec_id < 3"), "RawFlat", 32).search(q, 7)
+    assert few.count() == 3 * q.count()
+    assert E.build(v.limit(0), "RawFlat", 32).search(q, 7).count() == 0
+
+
+def test_pack():
+    r = np.random.default_rng(1)
+    for bits in (1, 3, 4, 6, 8):
+        c = r.integers(0, 1 << bits, (5, 13))
+        assert (E.unpack_bits(E.pack_bits(c, bits), bits, 13) == c).all()
+    assert E.pack_bits(np.array([[10, 11, 12, 13]]), 4).tobytes() == b"\xab\xcd"
+
+
+def test_insert_and_delete(spark, data):
+    v, q = data
+    part = E.build(v.where("vec_id >= 100"), "SignIVF", 32, nlist=6, rounds=2)
+    more = part.insert(v.where("vec_id < 120"))
+    assert more.live().count() == 600 and more.live().select("vec_id").distinct().count() == 600
+    gone = more.delete(v.where("vec_id % 2 = 0"))
+    assert gone.stats().first()["ntotal"] == 300 and all(r["vec_id"] % 2 for r in gone.search(q).collect())
+    assert gone.insert(v.where("vec_id = 0")).code(v.where("vec_id < 2")).count() == 2
+    x = {r["vec_id"]: np.array(r["x"]) for r in v.collect()}
+    err = [float(((np.array(r["x"]) - x[r["vec_id"]]) ** 2).sum()) for r in more.reconstructed().collect()]
+    assert np.mean(err) < 1e-3
+
+
+def test_report(data):
+    v, q = data
+    truth = S.exact(v, q, 10)
+    rows = E.sweep(v, q, truth, 32, 10, ["SignIVF", "BookIVF"], [4], [2, 4, 8])
+    assert len(rows) == 4 and all(r["recall"] > 0.5 and r["score"] > 0 and r["bytes"] > 32 for r in rows)
 
 
 def test_kmeans_edges(spark):
@@ -145,23 +181,24 @@ def test_attention(spark):
 
 def test_store(spark, data, tmp_path):
     v, q = data
-    model = M.kmeans(v, 8, 2)
-    lists = S.ivf_lists(v, model, "sign+sq8", 32)
+    index = E.build(v, "SignIVF", 32, nlist=8, rounds=2)
     path = f"{tmp_path}/index"
-    meta = store.IndexMeta("SignIVF", 32, 600, 1, nlist=8)
-    store.save_index(spark, path, lists, meta, {"centroids": model})
-    rows, got = store.load_index(spark, path, "SignIVF")
-    assert got == meta
-    a = S.final(S.ivf(lists, q, model, 4, 10, "sign+sq8", 32)).collect()
-    b = S.final(S.ivf(rows, q, store.load_model(spark, path, "centroids"), 4, 10, "sign+sq8", 32)).collect()
+    index.save(path)
+    got = E.load(spark, path, "SignIVF")
+    assert store.load_meta(spark, path) == store.IndexMeta("SignIVF", 32, 600, 1, nlist=8)
+    a, b = S.final(index.search(q, 10, 4)).collect(), S.final(got.search(q, 10, 4)).collect()
     assert sorted(a) == sorted(b)
     with pytest.raises(ValueError, match="SignFlat"):
-        store.load_index(spark, path, "SignFlat")
+        E.load(spark, path, "SignFlat")
     with pytest.raises(ValueError, match="index_type"):
         store.IndexMeta("Tree", 2, 1)
-    plan = rows.join(F.broadcast(S.probes(q, model, 2).drop("rank", "dist")), "cluster_id")._jdf.queryExecution().toString()
-    assert "dynamicpruning" in plan.lower()
-    assert store.stats(rows, meta).first()["sq8_count"] == 600
+    plan = got.search(q.limit(1), 10, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cluster_id" in plan or "PartitionFilters: [cluster_id" in plan
+    assert got.stats().first()["sq8_count"] == 600
+    for kind in ("BookIVF", "BookFlat", "SQ8Flat"):
+        one_ = E.build(v, kind, 32, nlist=4, rounds=2)
+        one_.save(f"{tmp_path}/{kind}")
+        assert sorted(S.final(one_.search(q)).collect()) == sorted(S.final(E.load(spark, f"{tmp_path}/{kind}").search(q)).collect())
 
 
 def test_vector_files(spark, tmp_path):
@@ -180,8 +217,8 @@ def test_vector_files(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    rows = [(i, [float(i), 1.0], i % 3, "insert") for i in range(8)]
-    for n, part in enumerate((rows[:4], rows[4:], [(1, None, None, "delete"), (2, [9.0, 9.0], 7, "insert"), (99, [1.0], 0, "insert")])):
+    rows = [(i, [float(i), 1.0], i % 3, "insert", None) for i in range(8)]
+    for n, part in enumerate((rows[:4], rows[4:], [(1, [1.0, 1.0], 0, "insert", 4), (1, None, None, "delete", 5), (2, None, None, "delete", 6), (2, [9.0, 9.0], 7, "insert", 7), (99, [1.0], 0, "insert", 8), (None, [1.0, 1.0], 0, "insert", 9)])):
         spark.createDataFrame(part, ingest.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.ingest(ingest.read_commands(spark, f"{tmp_path}/in", 100), f"{tmp_path}/table", f"{tmp_path}/cp", 2).awaitTermination()
         q = spark.createDataFrame([(0, [0.0, 1.0])], "qid long, qv array<double>")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ def row(spark: SparkSession, **arrays: list) -> DataFrame:
     return F.broadcast(spark.createDataFrame([tuple(arrays.values())], ", ".join(f"{k} {kind(v)}" for k, v in arrays.items())))
 
 
-def _by_dim(df: DataFrame, x: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(x).alias("i", "e"))
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
 def _listed(c: Column) -> Column:
@@ -72,28 +74,82 @@ def _listed(c: Column) -> Column:
 
 
 def mean(df: DataFrame, x: str = "x") -> DataFrame:
-    """One row c: the mean of each dimension."""
-    return _by_dim(df, x).groupBy("i").agg(F.avg("e").alias("e")).agg(_listed(F.col("e")).alias("c"))
+    """One row c: the mean of each dimension, from one row of sums a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = None, 0
+        for b in batches:
+            if len(b):
+                s = matrix(b[x]).sum(axis=0)
+                total, n = s if total is None else total + s, n + len(b)
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [total]})
+
+    sums = df.select(x).mapInPandas(run, "n long, s array<double>").select("n", F.posexplode("s").alias("i", "e"))
+    return sums.groupBy("i").agg((F.sum("e") / F.sum("n")).alias("e")).agg(_listed(F.col("e")).alias("c"))
 
 
 def ranges(df: DataFrame, *keys: str, x: str = "x") -> DataFrame:
-    """lo and hi of each dimension, for each key; a range under 1e-6 is widened to 1e-6."""
-    g = _by_dim(df, x, *keys).groupBy(*keys, "i").agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
+    """lo and hi of each dimension, for each key; a range under 1e-6 is widened to 1e-6. One row a partition and key goes into the exchange."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for b in batches:
+            for k, part in b.groupby(list(keys), sort=False) if keys else [((), b)]:
+                if len(part):
+                    m = matrix(part[x])
+                    lo, hi = m.min(axis=0), m.max(axis=0)
+                    old = held.get(k)
+                    held[k] = [lo, hi] if old is None else [np.minimum(old[0], lo), np.maximum(old[1], hi)]
+        if held:
+            yield pd.DataFrame({**{c: [k[i] for k in held] for i, c in enumerate(keys)}, "l": [v[0] for v in held.values()], "h": [v[1] for v in held.values()]})
+
+    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "l array<double>", "h array<double>"])
+    part = df.select(*keys, x).mapInPandas(run, schema).select(*keys, F.posexplode(F.arrays_zip("l", "h")).alias("i", "p"))
+    g = part.groupBy(*keys, "i").agg(F.min("p.l").alias("lo"), F.max("p.h").alias("hi"))
     g = g.withColumn("hi", F.when(F.col("hi") - F.col("lo") < 1e-6, F.col("lo") + 1e-6).otherwise(F.col("hi")))
     return g.groupBy(*keys).agg(_listed(F.col("lo")).alias("lo"), _listed(F.col("hi")).alias("hi"))
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row (ties to the lowest), by direct differences."""
+    out = np.empty(len(x), np.int32)
+    step = max(1, 4_000_000 // max(1, centroids.size))
+    for a in range(0, len(x), step):
+        out[a : a + step] = ((x[a : a + step, None, :] - centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
+    return out
+
+
 def assign(df: DataFrame, centroids: DataFrame, x: str = "x") -> DataFrame:
-    """df with cluster_id, the nearest centroid (ties to the lowest id). centroids: one row, ms ARRAY<ARRAY<DOUBLE>>; no shuffle."""
-    near = F.array_min(F.transform("ms", lambda m, i: F.struct(V.l2sq(m, F.col(x)).alias("d"), i.alias("i"))))
-    return df.crossJoin(F.broadcast(centroids)).withColumn("cluster_id", near["i"]).drop("ms")
+    """df with cluster_id, the nearest centroid (ties to the lowest id). centroids: one row, ms ARRAY<ARRAY<DOUBLE>>, whose size is fixed by parameters; no shuffle."""
+    ms = np.array(centroids.first()["ms"])
+
+    @F.pandas_udf("int")
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest(matrix(v), ms) if len(v) else np.empty(0, np.int32))
+
+    return df.withColumn("cluster_id", near(x))
+
+
+def update(df: DataFrame, old: list[list[float]], x: str = "x") -> list[list[float]]:
+    """One Lloyd round: means of the rows nearest to each centroid, from k rows of sums a partition; an empty cluster keeps its centroid."""
+    ms = np.array(old)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(ms.shape), np.zeros(len(ms), np.int64)
+        for b in batches:
+            if len(b):
+                m = matrix(b[x])
+                c = nearest(m, ms)
+                np.add.at(total, c, m)
+                n += np.bincount(c, minlength=len(ms))
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pd.DataFrame({"c": at.astype("int32"), "n": n[at], "s": list(total[at])})
 
-def update(assigned: DataFrame, old: list[list[float]], x: str = "x") -> list[list[float]]:
-    """Means of the clusters: k x d partial sums; an empty cluster keeps its centroid."""
-    rows = _by_dim(assigned, x, "cluster_id").groupBy("cluster_id", "i").agg(F.avg("e").alias("e")).collect()
+    sums = df.select(x).mapInPandas(run, "c int, n long, s array<double>").select("c", "n", F.posexplode("s").alias("i", "e"))
     new = [list(c) for c in old]
-    for c, i, e in rows:
+    for c, i, e in sums.groupBy("c", "i").agg((F.sum("e") / F.sum("n")).alias("e")).collect():
         new[c][i] = e
     return new
 
@@ -107,5 +163,5 @@ def kmeans(df: DataFrame, k: int, rounds: int, seed: int = 42) -> DataFrame:
     """Exactly `rounds` Lloyd rounds from seeded rows. One row: ms, the centroids; k * d numbers go to the driver each round."""
     spark, ms = df.sparkSession, seeds(df, k, seed)
     for _ in range(rounds):
-        ms = update(assign(df, row(spark, ms=ms)), ms)
+        ms = update(df, ms)
     return row(spark, ms=ms)

@@ -15,6 +15,10 @@ from vecforge.functions import vector as V
 from . import models as M
 
 
+#: Queries of some hundred dimensions that are broadcast at most.
+MOST_QUERIES = 16_000
+
+
 def best(df: DataFrame, k: int, dist: str = "dist", ascending: bool = True) -> DataFrame:
     """(qid, rank, vec_id, dist) of the k best rows of each query, ties by vec_id. The limit is pushed below the exchange."""
     order = F.col(dist) if ascending else F.col(dist).desc()
@@ -26,8 +30,8 @@ def final(df: DataFrame, dist: str = "dist") -> DataFrame:
 
 
 def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every vector with every query of a stated, small set (broadcast)."""
-    return vectors.crossJoin(F.broadcast(queries))
+    """Every vector with every query of a stated set, which is broadcast only if its counted size allows that."""
+    return vectors.crossJoin(F.broadcast(queries) if queries.count() <= MOST_QUERIES else queries)
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
@@ -35,62 +39,10 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | N
     return best(pairs(v, queries).select("qid", "vec_id", V.l2sq(F.col("x"), F.col("qv")).alias("dist")), k)
 
 
-def exact_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
-    """exact() for thousands of queries: each Arrow batch of vectors is ranked by one matrix product for each block of
-    queries, its best candidates are measured anew by the direct form, and the window sees k rows for each batch and query.
-
-    The queries are a stated set that a worker can hold; the expanded form rounds otherwise, so a few more than k survive it.
-    """
-    rows = queries.select("qid", "qv").collect()
-    ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x, vid = np.stack(b["x"].to_numpy()), b["vec_id"].to_numpy()
-            n2, m = (x * x).sum(axis=1), min(len(x), k + 6)
-            for a in range(0, len(ids), block):
-                part = q[a : a + block]
-                d = n2[None, :] - 2 * (part @ x.T)
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                true = ((x[near] - part[:, None, :]) ** 2).sum(axis=2)
-                yield pd.DataFrame({"qid": np.repeat(ids[a : a + block], m), "vec_id": vid[near].ravel(), "dist": true.ravel()})
-
-    return best(vectors.select("vec_id", "x").mapInPandas(run, "qid long, vec_id long, dist double"), k)
-
-
-def inner_product(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return best(pairs(vectors, queries).select("qid", "vec_id", V.dot(F.col("x"), F.col("qv")).alias("dist")), k, ascending=False)
-
-
-def within(vectors: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    return pairs(vectors, queries).select("qid", "vec_id", V.l2sq(F.col("x"), F.col("qv")).alias("dist")).where(F.col("dist") < radius)
-
-
-def refine(coarse: DataFrame, k: int) -> DataFrame:
-    """Re-ranks rows with (qid, qv, vec_id, code, lo, hi) by the distance of their 8-bit codes."""
-    d = V.l2sq(V.sq8_decode(F.col("code"), F.col("lo"), F.col("hi")), F.col("qv"))
-    return best(coarse.drop("rank").withColumn("dist", d), k)
-
-
 def sq8_codes(vectors: DataFrame, model: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(model)).withColumn("code", V.sq8_encode(F.col("x"), F.col("lo"), F.col("hi")))
 
 
-def sq8_flat(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return refine(pairs(sq8_codes(vectors, M.ranges(vectors)), queries), k)
-
-
-def sign_flat(vectors: DataFrame, queries: DataFrame, d: int, k: int = 10, refine_factor: int = 0) -> DataFrame:
-    """Sign codes about the mean; refine_factor 0: ranked by the estimate alone."""
-    coded = vectors.crossJoin(F.broadcast(M.mean(vectors))).withColumn("s", V.sign_encode(F.col("x"), F.col("c")))
-    if refine_factor:
-        coded = sq8_codes(coded, M.ranges(vectors))
-    coarse = pairs(coded.drop("x"), queries).withColumn("dist", V.sign_distance(F.col("s"), F.col("qv"), F.col("c"), d))
-    return refine(best(coarse, k * refine_factor), k) if refine_factor else best(coarse, k)
-
-
 def rotated(df: DataFrame, x: str, out: str, matrix: list[list[float]]) -> DataFrame:
     """df with out = matrix x / |x|."""
     return df.crossJoin(M.row(df.sparkSession, rot=matrix)).withColumn(out, V.let(V.normalize(F.col(x)), lambda u: V.matvec(F.col("rot"), u))).drop("rot")
@@ -101,59 +53,12 @@ def book_codes(vectors: DataFrame, matrix: list[list[float]], centroids: list[fl
     return z.withColumn("tq", V.book_encode(F.col("z"), F.col("bounds"))).drop("bounds")
 
 
-def book_flat(vectors: DataFrame, queries: DataFrame, bits: int, d: int, k: int = 10, refine_factor: int = 0) -> DataFrame:
-    """Codebook codes of rotated unit vectors; coarse by angle, refined on the raw vectors."""
-    matrix = M.rotation(d)
-    cents, bounds = M.codebook(bits, len(matrix))
-    coded = book_codes(vectors, matrix.tolist(), cents.tolist(), bounds.tolist()).drop("z")
-    if refine_factor:
-        coded = sq8_codes(coded, M.ranges(vectors))
-    q = rotated(queries, "qv", "qz", matrix.tolist())
-    coarse = pairs(coded.drop("x"), q).withColumn("dist", V.l2sq(V.book_decode(F.col("tq"), F.col("cents")), F.col("qz")))
-    return refine(best(coarse, k * refine_factor), k) if refine_factor else best(coarse, k)
-
-
 def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(qid, qv, cluster_id, rank, dist, c): the nearest clusters of each query."""
     each = queries.crossJoin(F.broadcast(centroids)).select("qid", "qv", F.posexplode("ms").alias("cluster_id", "c")).withColumn("dist", V.l2sq(F.col("c"), F.col("qv")))
     return each.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "cluster_id"))).where(F.col("rank") <= nprobe)
 
 
-def ivf(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int = 10, how: str = "flat", d: int = 64, refine_factor: int = 10) -> DataFrame:
-    """Inverted lists (rows with cluster_id: partition pruning if stored by it) joined with the probed clusters, then ranked.
-
-    how: 'flat' (raw distance), 'sign' (sign codes about the own centroid), 'sign+sq8', 'book+sq8' (4 bits). Lists with sq8
-    have code, lo, hi; with signs s; with codebook codes tq and cents, and queries then qz.
-    """
-    p = probes(queries, centroids, nprobe).drop("rank", "dist")
-    if how.startswith("book"):
-        p = rotated(p, "qv", "qz", M.rotation(d).tolist())
-    j = lists.join(F.broadcast(p), "cluster_id")
-    if how == "flat":
-        return best(j.withColumn("dist", V.l2sq(F.col("x"), F.col("qv"))), k)
-    if how.startswith("sign"):
-        j = j.withColumn("dist", V.sign_distance(F.col("s"), F.col("qv"), F.col("c"), d))
-    else:
-        j = j.withColumn("dist", V.l2sq(V.book_decode(F.col("tq"), F.col("cents")), F.col("qz")))
-    return refine(best(j, k * refine_factor), k) if how.endswith("sq8") else best(j, k)
-
-
-def ivf_lists(vectors: DataFrame, centroids: DataFrame, how: str = "flat", d: int = 64) -> DataFrame:
-    """Rows of an index: cluster_id and the codes that `how` needs; 8-bit ranges are those of the cluster."""
-    a = M.assign(vectors, centroids)
-    if how == "flat":
-        return a
-    if how.endswith("sq8"):
-        a = a.join(F.broadcast(M.ranges(a, "cluster_id")), "cluster_id").withColumn("code", V.sq8_encode(F.col("x"), F.col("lo"), F.col("hi")))
-    if how.startswith("sign"):
-        a = a.crossJoin(F.broadcast(centroids)).withColumn("s", V.sign_encode(F.col("x"), F.get("ms", F.col("cluster_id")))).drop("ms")
-    if how.startswith("book"):
-        matrix = M.rotation(d)
-        cents, bounds = M.codebook(4, len(matrix))
-        a = book_codes(a, matrix.tolist(), cents.tolist(), bounds.tolist()).drop("z")
-    return a.drop("x")
-
-
 def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Share of the true neighbours found."""
     n = truth.select("qid").distinct().count()

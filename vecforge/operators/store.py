@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = ("BookFlat", "SignFlat", "SignIVF", "BookIVF")
+KINDS = ("RawFlat", "SQ8Flat", "BookFlat", "SignFlat", "RawIVF", "SignIVF", "BookIVF")
 
 
 @dataclass
@@ -30,6 +33,30 @@ class IndexMeta:
             raise ValueError(f"index_type must be one of {KINDS}")
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir; unset, in local mode only, a local one), deleted at exit."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    _SCRATCH.append((spark, path := f"{base.rstrip('/')}/vecforge-{tag}-{uuid.uuid4().hex[:12]}"))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001, S110  the JVM may be gone
+            pass
+
+
 def save_index(spark: SparkSession, path: str, rows: DataFrame, meta: IndexMeta, models: dict[str, DataFrame] | None = None) -> None:
     """Data first, metadata last: an index without metadata is not an index."""
     writer = rows.write.mode("overwrite")

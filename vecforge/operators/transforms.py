@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +15,27 @@ from . import models as M
 
 
 def gram(df: DataFrame, d: int, x: str = "x", y: str = "x") -> np.ndarray:
-    """sum of x_i y_j over all rows: d * d partial sums, whatever the number of rows."""
-    e = df.select(F.posexplode(F.slice(x, 1, d)).alias("i", "a"), F.slice(y, 1, d).alias("y")).select("i", "a", F.posexplode("y").alias("j", "b"))
-    out = np.zeros((d, d))
-    for i, j, s in e.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect():
-        out[i, j] = s
-    return out
+    """sum of x_i y_j over all rows (the first d dimensions): one matrix a partition, then their sum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d, d))
+        for b in batches:
+            if len(b):
+                total += M.matrix(b[x])[:, :d].T @ M.matrix(b[y])[:, :d]
+        yield pd.DataFrame({"s": [total.ravel()]})
+
+    part = df.select(*{x, y}).mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "e"))
+    out = np.zeros(d * d)
+    for i, e in part.groupBy("i").agg(F.sum("e").alias("e")).collect():
+        out[i] = e
+    return out.reshape(d, d)
 
 
 def covariance(df: DataFrame, d: int) -> DataFrame:
-    e = df.select(F.posexplode(F.slice("x", 1, d)).alias("i", "a"), F.slice("x", 1, d).alias("y")).select("i", "a", F.posexplode("y").alias("j", "b"))
-    return e.groupBy("i", "j").agg(F.round(F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b"), 9).alias("cov"))
+    n, mean = df.count(), np.array(M.mean(df).first()["c"] or [0.0] * d)[:d]
+    cov = gram(df, d) / max(1, n) - np.outer(mean, mean)
+    rows = [(i, j, round(float(cov[i, j]), 9)) for i in range(d) for j in range(d)] if n else []
+    return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
 def pca(df: DataFrame, d: int, out: int, eigen_power: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +82,7 @@ def opq(df: DataFrame, d: int, parts: int, k: int, rounds: int = 5, seed: int =
         y = apply(df, r)
         subs = [y.select("vec_id", F.slice("y", 1 + p * w, w).alias("x")) for p in range(parts)]
         books = [M.seeds(s, k, seed) for s in subs] if not books else books
-        books = [M.update(M.assign(s, M.row(df.sparkSession, ms=b)), b) for s, b in zip(subs, books, strict=True)]
+        books = [M.update(s, b) for s, b in zip(subs, books, strict=True)]
         if turn < rounds - 1:
             u, _, vt = np.linalg.svd(gram(pq_decode(pq_encode(y.withColumn("x0", F.col("x")), books, "y"), books).withColumn("x", F.col("x0")), d, "decoded", "x"))
             r = u @ vt

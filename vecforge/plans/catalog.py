@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from vecforge.functions import text as T
 from vecforge.functions import vector as V
+from vecforge.operators import engine as E
 from vecforge.operators import models as M
 from vecforge.operators import search as S
 from vecforge.operators import store
 
-D, K, NLIST, NPROBE, ROUNDS, REFINE, NQ = 64, 10, 16, 8, 4, 10, 20
+D, K, NLIST, NPROBE, ROUNDS, REFINE, EVERY = 64, 10, 16, 8, 4, 10, 20
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -41,9 +42,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", V.doubles("embedding").alias("x"), "label")
 
 
-def probe_set(v: DataFrame, n: int = NQ) -> DataFrame:
-    """The stated query set: vec_id under n."""
-    return v.where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("x").alias("qv"))
+def probe_set(v: DataFrame, every: int = EVERY) -> DataFrame:
+    """The stated query set: every row whose id is divisible by `every`."""
+    return v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("x").alias("qv"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +75,7 @@ def _unit(a: str) -> str:
     return f"CASE WHEN sqrt({_sq(a)}) > 1e-10 THEN list_transform({a}, lambda e: e / sqrt({_sq(a)})) ELSE {a} END"
 
 
-BASE = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings), q AS (SELECT vec_id AS qid, x AS qv FROM v WHERE vec_id < {NQ})"
+BASE = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings), q AS (SELECT vec_id AS qid, x AS qv FROM v WHERE vec_id % {EVERY} = 0)"
 
 
 def _top(src: str, k: int = K, order: str = "d") -> str:
@@ -170,12 +171,23 @@ def _refined(src: str, codes: str) -> str:
     return f"rf AS (SELECT e.qid, e.vec_id, {_l2(_dec(), 'e.qv')} AS d FROM {_top(src, K * REFINE)} e JOIN {codes} USING (vec_id))"
 
 
+def _flat(spark, sf, kind, refine, metric="l2", where=None):
+    v, q = _both(spark, sf)
+    index = E.build(v if where is None else v.where(where), kind, D, sq8=refine > 0, metric=metric)
+    return S.final(index.search(q, K, refine=refine))
+
+
+def _inverted(spark, sf, kind, sq8=True, metric="l2"):
+    v, q = _both(spark, sf)
+    return E.build(v, kind, D, sq8=sq8, nlist=NLIST, rounds=ROUNDS, metric=metric), q
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 
 @query(_knn(f"{BASE}, e AS (SELECT qid, vec_id, {_l2('x', 'qv')} AS d FROM v, q)", "e"))
 def exact_knn(spark, sf):
-    return S.final(S.exact(*_both(spark, sf), K))
+    return _flat(spark, sf, "RawFlat", 0)
 
 
 def _pairwise(spark, sf, f, name):
@@ -239,7 +251,7 @@ def sq8_decode_error(spark, sf):
 
 @query(_knn(f"{BASE}, {CODES}, e AS (SELECT qid, vec_id, {_l2(_dec(), 'qv')} AS d FROM coded, q)", "e"))
 def sq8_knn(spark, sf):
-    return S.final(S.sq8_flat(*_both(spark, sf), K))
+    return _flat(spark, sf, "SQ8Flat", 0)
 
 
 # --- sign codes ---------------------------------------------------------------------------------------------------
@@ -267,12 +279,12 @@ def rabitq_distance(spark, sf):
 
 @query(_knn(f"{BASE}, {FLAT_SIGNS}, e AS (SELECT qid, vec_id, {_est()} AS d FROM s, q)", "e"))
 def rabitq_flat_knn(spark, sf):
-    return S.final(S.sign_flat(*_both(spark, sf), D, K))
+    return _flat(spark, sf, "SignFlat", 0)
 
 
 @query(_knn(f"{BASE}, {FLAT_SIGNS}, {CODES}, e AS (SELECT qid, qv, vec_id, {_est()} AS d FROM s, q), {_refined('e', 'coded')}", "rf"))
 def rabitq_flat_sq8_knn(spark, sf):
-    return S.final(S.sign_flat(*_both(spark, sf), D, K, REFINE))
+    return _flat(spark, sf, "SignFlat", REFINE)
 
 
 @query(f"WITH {BASE}, {FLAT_SIGNS}, b AS (SELECT qid, vec_id, {_est()} AS d, {_err()} AS err FROM s, q), k AS (SELECT qid, max(d) AS kth FROM {_top('b')} GROUP BY qid) SELECT qid, vec_id FROM b JOIN k USING (qid) WHERE greatest(0.0, d - err) < kth")
@@ -332,12 +344,12 @@ def tq4_distance(spark, sf):
 
 @query(_knn(f"{BASE}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(4)}, {_TQE}", "e"))
 def tq4_flat_knn(spark, sf):
-    return S.final(S.book_flat(*_both(spark, sf), 4, D, K))
+    return _flat(spark, sf, "BookFlat", 0)
 
 
 @query(_knn(f"{BASE}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(4)}, {_TQE}, {CODES}, {_refined('e', 'coded')}", "rf"))
 def tq4_sq8_knn(spark, sf):
-    return S.final(S.book_flat(*_both(spark, sf), 4, D, K, REFINE))
+    return _flat(spark, sf, "BookFlat", REFINE)
 
 
 _BITS = (1, 2, 3, 4, 6, 8)
@@ -378,10 +390,10 @@ def kmeans_fit(spark, sf):
     return _centroids(M.kmeans(vectors(spark, sf), NLIST, ROUNDS))
 
 
-def _lists(spark, sf, how="flat"):
+def _lists(spark, sf):
     v = vectors(spark, sf)
     model = M.kmeans(v, NLIST, ROUNDS)
-    return S.ivf_lists(v, model, how, D), probe_set(v), model
+    return M.assign(v, model), probe_set(v), model
 
 
 @query(f"WITH {BASE}, {_kmeans()} SELECT cluster_id, count(*) AS size FROM al GROUP BY ALL")
@@ -405,24 +417,24 @@ def probe_clusters(spark, sf):
     return S.probes(q, model, NPROBE).select("qid", "rank", "cluster_id", F.round("dist", 6).alias("dist"))
 
 
-def _ivf(spark, sf, how):
-    lists, q, model = _lists(spark, sf, how)
-    return S.final(S.ivf(lists, q, model, NPROBE, K, how, D, REFINE))
+def _ivf(spark, sf, kind, refine, metric="l2"):
+    index, q = _inverted(spark, sf, kind, refine > 0, metric)
+    return S.final(index.search(q, K, NPROBE, refine))
 
 
 @query(_knn(f"{BASE}, {_kmeans()}, {PROBES}, e AS (SELECT qid, vec_id, {_l2('x', 'qv')} AS d FROM al JOIN pr ON cid = cluster_id)", "e"))
 def ivf_flat_knn(spark, sf):
-    return _ivf(spark, sf, "flat")
+    return _ivf(spark, sf, "RawIVF", 0)
 
 
 @query(_knn(f"{BASE}, {_kmeans()}, {PROBES}, {IVF_SIGNS}", "e"))
 def rabitq_ivf_knn(spark, sf):
-    return _ivf(spark, sf, "sign")
+    return _ivf(spark, sf, "SignIVF", 0)
 
 
 @query(_knn(f"{BASE}, {_kmeans()}, {PROBES}, {IVF_SIGNS}, {OWN_RANGES}, {_refined('e', 'own')}", "rf"))
 def rabitq_ivf_sq8_knn(spark, sf):
-    return _ivf(spark, sf, "sign+sq8")
+    return _ivf(spark, sf, "SignIVF", REFINE)
 
 
 _IVF_BOOK = f"{BASE}, {_kmeans()}, {PROBES}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(4)}, e AS (SELECT pr.qid, pr.qv, t.vec_id, {_bookd()} AS d FROM t JOIN al USING (vec_id) JOIN pr ON cid = cluster_id JOIN qz ON qz.qid = pr.qid), {OWN_RANGES}, {_refined('e', 'own')}"
@@ -430,7 +442,7 @@ _IVF_BOOK = f"{BASE}, {_kmeans()}, {PROBES}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(
 
 @query(_knn(_IVF_BOOK, "rf"))
 def tq_ivf_sq8_knn(spark, sf):
-    return _ivf(spark, sf, "book+sq8")
+    return _ivf(spark, sf, "BookIVF", REFINE)
 
 
 # --- search variants ----------------------------------------------------------------------------------------------
@@ -438,17 +450,18 @@ def tq_ivf_sq8_knn(spark, sf):
 
 @query(f"WITH {BASE} SELECT qid, vec_id, round({_l2('x', 'qv')}, 6) AS dist FROM v, q WHERE {_l2('x', 'qv')} < 1.2")
 def range_search(spark, sf):
-    return S.within(*_both(spark, sf), 1.2).withColumn("dist", F.round("dist", 6))
+    v, q = _both(spark, sf)
+    return E.build(v, "RawFlat", D).within(q, 1.2).withColumn("dist", F.round("dist", 6))
 
 
 @query(_knn(f"{BASE}, e AS (SELECT qid, vec_id, {_l2('x', 'qv')} AS d FROM v, q WHERE label = 3)", "e"))
 def filtered_knn(spark, sf):
-    return S.final(S.exact(*_both(spark, sf), K, F.col("label") == 3))
+    return _flat(spark, sf, "RawFlat", 0, where="label = 3")
 
 
 @query(_knn(f"{BASE}, e AS (SELECT qid, vec_id, {_dot('x', 'qv')} AS d FROM v, q)", "e", order="d DESC"))
 def ip_knn(spark, sf):
-    return S.final(S.inner_product(*_both(spark, sf), K))
+    return _flat(spark, sf, "RawFlat", 0, metric="ip")
 
 
 @query(f"WITH {BASE}, w AS (SELECT a.vec_id AS qid, b.vec_id, {_l2('a.x', 'b.x')} AS d FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT qid AS src, vec_id AS dst, rank, round(d, 6) AS weight FROM {_top('w', 5)}")
@@ -460,33 +473,62 @@ def knn_graph(spark, sf):
     return S.best(e, 5).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), "rank", F.round("dist", 6).alias("weight"))
 
 
+_IP = f"(-0.5 * (n2 + {_l2('qv', '{c}')} - 2 * {DP} * (list_sum(list_transform(list_zip(signs, qv, {{c}}), lambda p: CASE WHEN p[1] = 1 THEN p[2] - p[3] ELSE -(p[2] - p[3]) END)) / {D**0.5}) - {_sq('qv')} - o2))"
+
+
+@query(_knn(f"{BASE}, {FLAT_SIGNS}, e AS (SELECT qid, vec_id, {_IP.replace('{c}', 'c')} AS d FROM s, q)", "e", order="d DESC"))
+def rabitq_ip_knn(spark, sf):
+    return _flat(spark, sf, "SignFlat", 0, metric="ip")
+
+
+@query(_knn(f"{BASE}, {_kmeans()}, {PROBES}, vc AS (SELECT vec_id, x, cluster_id, c FROM al JOIN kk ON cid = cluster_id), {SIGNS.format(src='vc')}, e AS (SELECT qid, s.vec_id, {_IP.replace('{c}', 'pc')} AS d FROM s JOIN pr ON cid = s.cluster_id)", "e", order="d DESC"))
+def rabitq_ivf_ip_knn(spark, sf):
+    return _ivf(spark, sf, "SignIVF", 0, metric="ip")
+
+
 def _recall_sql(method: str, src: str) -> str:
-    return f"SELECT '{method}' AS method, {K} AS k, {NQ}::BIGINT AS nq, round(count(*) / {K * NQ}, 6) AS recall FROM best_{src} WHERE qid * 1000000 + vec_id IN (SELECT qid * 1000000 + vec_id FROM best_g)"
+    return f"SELECT '{method}' AS method, {K} AS k, (SELECT count(*) FROM q) AS nq, round(count(*) / ({K} * (SELECT count(*) FROM q)), 6) AS recall FROM best_{src} WHERE qid * 1000000 + vec_id IN (SELECT qid * 1000000 + vec_id FROM best_g)"
 
 
 @query(f"WITH {BASE}, {CODES}, {FLAT_SIGNS}, g AS (SELECT qid, vec_id, {_l2('x', 'qv')} AS d FROM v, q), r1 AS (SELECT qid, vec_id, {_l2(_dec(), 'qv')} AS d FROM coded, q), r2 AS (SELECT qid, vec_id, {_est()} AS d FROM s, q), best_g AS MATERIALIZED {_top('g')}, best_r1 AS MATERIALIZED {_top('r1')}, best_r2 AS MATERIALIZED {_top('r2')} {_recall_sql('sq8', 'r1')} UNION ALL {_recall_sql('sign', 'r2')}")
 def recall_at_k(spark, sf):
     v, q = _both(spark, sf)
-    truth = S.exact(v, q, K)
-    one = lambda name, r: S.recall(r, truth, K).select(F.lit(name).alias("method"), F.lit(K).alias("k"), "nq", F.round("recall", 6).alias("recall"))
-    return one("sq8", S.sq8_flat(v, q, K)).unionAll(one("sign", S.sign_flat(v, q, D, K)))
+    truth = E.build(v, "RawFlat", D).search(q, K)
+    one = lambda name, kind: S.recall(E.build(v, kind, D, sq8=False).search(q, K, refine=0), truth, K).select(F.lit(name).alias("method"), F.lit(K).alias("k"), "nq", F.round("recall", 6).alias("recall"))
+    return one("sq8", "SQ8Flat").unionAll(one("sign", "SignFlat"))
 
 
 @query("SELECT event_type, count(*) AS n, round(list_sort(list(value))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1], 6) AS p50, round(list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*) * 0.99) AS BIGINT)) + 1], 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    """Element floor(n p) of the sorted values: by rank, so no group is gathered in one array."""
+    """Element floor(n p) of the sorted values. A sketch brackets each percentile; only the values within the bracket are
+    ranked, and those below it counted, so the result is exact and no group is sorted whole."""
     e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null").select("event_type", "value")
-    r = e.withColumn("i", F.row_number().over(W.partitionBy("event_type").orderBy("value")) - 1).withColumn("n", F.count("*").over(W.partitionBy("event_type")))
-    at = lambda p: F.round(F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value"))), 6)
-    return r.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.99).alias("p99"))
+    at = {"p50": 0.5, "p99": 0.99}
+    ends = [F.percentile_approx("value", F.lit(max(0.0, min(1.0, p + s))), F.lit(10_000)).alias(f"{c}_{side}") for c, p in at.items() for side, s in (("lo", -0.002), ("hi", 0.002))]
+    bounds = e.groupBy("event_type").agg(F.count("*").alias("n"), *ends)
+    j = e.join(F.broadcast(bounds), "event_type")
+    out = j.groupBy("event_type").agg(F.max("n").alias("n"), *[F.sum((F.col("value") < F.col(f"{c}_lo")).cast("long")).alias(f"{c}_below") for c in at])
+    for c, p in at.items():
+        within = j.where(F.col("value").between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))).select("event_type", "value")
+        ranked = within.withColumn("i", F.row_number().over(W.partitionBy("event_type").orderBy("value")) - 1).join(F.broadcast(out.select("event_type", "n", f"{c}_below")), "event_type")
+        hit = ranked.where(F.col("i") + F.col(f"{c}_below") == F.least(F.col("n") - 1, F.floor(F.col("n") * p))).select("event_type", F.round("value", 6).alias(c))
+        out = out.join(hit, "event_type")
+    return out.select("event_type", "n", "p50", "p99")
+
+
+_METHODS = (("sq8", "SQ8Flat", 4, False), ("rabitq", "SignFlat", 1, False), ("rabitq_sq8", "SignFlat", 1, True), ("tq4", "BookFlat", 4, False), ("tq4_sq8", "BookFlat", 4, True), ("tq6", "BookFlat", 6, False))
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM embeddings), m(method, code_bytes) AS (VALUES ('raw', 256), ('sq8', 64), ('rabitq', 16), ('rabitq_sq8', 80), ('tq4', 32), ('tq4_sq8', 96), ('tq6', 48)) SELECT method, code_bytes, n * code_bytes AS total_bytes, round(256.0 / code_bytes, 6)::DOUBLE AS ratio FROM m, n")
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings), m(method, code_bytes) AS (VALUES ('sq8', 64), ('rabitq', 24), ('rabitq_sq8', 88), ('tq4', 32), ('tq4_sq8', 96), ('tq6', 48)) SELECT method, n * code_bytes AS total_bytes, round(256.0 / code_bytes, 6)::DOUBLE AS ratio FROM m, n")
 def storage_report(spark, sf):
-    b = store.code_bytes
-    rows = [("raw", b("raw", D)), ("sq8", b("sq8", D)), ("rabitq", b("sign", D, sq8=False)), ("rabitq_sq8", b("sign", D)), ("tq4", b("book", D, 4, False)), ("tq4_sq8", b("book", D)), ("tq6", b("book", D, 6, False))]
-    n = spark.read.parquet(f"{sf}/embeddings.parquet").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(rows, "method string, code_bytes int").crossJoin(n).select("method", "code_bytes", (F.col("n") * F.col("code_bytes")).alias("total_bytes"), F.round(F.lit(4.0 * D) / F.col("code_bytes"), 6).alias("ratio"))
+    """Bytes of codes, factors (two doubles) and 8-bit codes as they are stored."""
+    v, out = vectors(spark, sf), None
+    for name, kind, bits, sq8 in _METHODS:
+        st = E.build(v, kind, D, bits, sq8).stats()
+        total = F.col("code_bytes") + F.col("factor_bytes") + F.col("sq8_bytes")
+        one = st.select(F.lit(name).alias("method"), total.cast("long").alias("total_bytes"), F.round(F.col("ntotal") * 4.0 * D / total, 6).alias("ratio"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 # --- store --------------------------------------------------------------------------------------------------------
@@ -513,16 +555,47 @@ def delete_antijoin(spark, sf):
     return store.without(e, e.where("vec_id % 10 = 1"))
 
 
-@query("SELECT 'BookFlat' AS index_type, 64 AS d, count(*) AS ntotal, count(*) AS code_count, count(*) FILTER (vec_id % 3 = 0) AS sq8_count FROM embeddings")
+@query("SELECT 'BookFlat' AS index_type, 64 AS d, count(*) AS ntotal, count(*) AS sq8_count, count(*) * 32 AS code_bytes, count(*) * 0 AS factor_bytes, count(*) * 64 AS sq8_bytes FROM embeddings")
 def store_stats(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.col("label")).alias("code"))
-    return store.stats(rows, store.IndexMeta("BookFlat", D, rows.count()))
+    return E.build(vectors(spark, sf), "BookFlat", D).stats()
+
+
+_HEX = "list_transform(range(0, 16), lambda i: substr('0123456789ABCDEF', CAST(1 + 8 * signs[4 * i + 1] + 4 * signs[4 * i + 2] + 2 * signs[4 * i + 3] + signs[4 * i + 4] AS BIGINT), 1))"
+_BOOK_HEX = "list_transform(tq, lambda t: substr('0123456789ABCDEF', CAST(t + 1 AS BIGINT), 1))"
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label WHEN vec_id % 3 = 0 THEN label + 10 END AS code FROM embeddings")
+@query(f"WITH {BASE}, {FLAT_SIGNS}, {_rot_sql()}, {ROTZ}, {_tq(4)} SELECT v.vec_id, CASE WHEN v.vec_id % 2 = 0 THEN array_to_string({_HEX}, '') WHEN v.vec_id % 3 = 0 THEN array_to_string({_BOOK_HEX}, '') END AS code FROM v JOIN s USING (vec_id) JOIN t USING (vec_id)")
 def code_fallback(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return store.first_code(e.select("vec_id"), e.where("vec_id % 2 = 0").select("vec_id", F.col("label").alias("code")), e.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 10).alias("code")))
+    """The code of each id from the index of sign codes (even ids), else from that of codebook codes (multiples of 3)."""
+    v = vectors(spark, sf)
+    sign = E.build(v, "SignFlat", D, sq8=False).delete(v.where("vec_id % 2 <> 0"))
+    book = E.build(v, "BookFlat", D, sq8=False).delete(v.where("vec_id % 3 <> 0"))
+    both = [x.live().select("vec_id", F.hex("code").alias("code")) for x in (sign, book)]
+    return store.first_code(v.select("vec_id"), *both)
+
+
+@query(f"WITH {BASE}, {CODES} SELECT vec_id, array_to_string(list_transform(code, lambda c: lpad(lower(to_hex(c)), 2, '0')), '') AS sq8 FROM coded WHERE vec_id IN (1, 5, 7, 42)")
+def sq8_lookup(spark, sf):
+    v = vectors(spark, sf)
+    return E.build(v, "SignFlat", D).code(spark.createDataFrame([(1,), (5,), (7,), (42,)], "vec_id long")).select("vec_id", F.lower(F.hex("sq8")).alias("sq8"))
+
+
+_INSERTED = f"WITH {BASE}, {_kmeans()}, vc AS (SELECT vec_id, x, cluster_id, c FROM al JOIN kk ON cid = cluster_id), {SIGNS.format(src='vc')} SELECT vec_id, cluster_id, array_to_string({_HEX}, '') AS code, round(n2, 6) AS n2 FROM s WHERE vec_id % 7 <> 3"
+
+
+@query(_INSERTED)
+def incremental_insert(spark, sf):
+    """Lists trained on all vectors; nine tenths built, the rest inserted one index on (assigned, encoded, appended), some replaced, some deleted."""
+    v = vectors(spark, sf)
+    cents = E.np.array(M.kmeans(v, NLIST, ROUNDS).first()["ms"])
+    index = E.build(v.where("vec_id % 10 <> 0"), "SignIVF", D, sq8=False, centroids=cents).insert(v.where("vec_id % 10 = 0 or vec_id % 10 = 1"))
+    return index.delete(v.where("vec_id % 7 = 3")).live().select("vec_id", "cluster_id", F.hex("code").alias("code"), F.round("n2", 6).alias("n2"))
+
+
+@query(f"WITH {BASE}, {_rot_sql()}, {ROTZ}, {_tq(4)} SELECT vec_id, array_to_string({_BOOK_HEX}, '') AS code FROM t")
+def tq4_packed(spark, sf):
+    """Codebook codes as stored: four bits each, the first in the high half of the first byte."""
+    return E.build(vectors(spark, sf), "BookFlat", D, sq8=False).rows.select("vec_id", F.hex("code").alias("code"))
 
 
 @query("SELECT label AS cluster_id, CAST(sum(1) AS BIGINT) AS count, CAST(sum(vec_id) AS BIGINT) AS start FROM embeddings GROUP BY label")
@@ -567,12 +640,12 @@ def polar2d_group_quant(spark, sf):
     return p.join(m, ["grp", "chan"]).select("vec_id", "chan", (cell("rho", "rmn", "rs") * 16 + cell("phi", "tmn", "ts")).cast("int").alias("code"))
 
 
-_SM = "sm AS (SELECT user_id, event_id, value, exp(value - max(value) OVER w) / sum(exp(value)) OVER w * exp(max(value) OVER w) AS p FROM (SELECT user_id, event_id, value / 100 AS value FROM events WHERE user_id < 50 AND value IS NOT NULL) WINDOW w AS (PARTITION BY user_id))"
+_SM = "sm AS (SELECT user_id, event_id, value, exp(value - max(value) OVER w) / sum(exp(value)) OVER w * exp(max(value) OVER w) AS p FROM (SELECT user_id, event_id, value / 100 AS value FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY user_id))"
 
 
 def _softmax(spark, sf):
     w = W.partitionBy("user_id")
-    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 50 and value is not null").select("user_id", "event_id", (F.col("value") / 100).alias("value"))
+    e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null").select("user_id", "event_id", (F.col("value") / 100).alias("value"))
     x = e.withColumn("x", F.exp(F.col("value") - F.max("value").over(w)))
     return x.withColumn("p", F.col("x") / F.sum("x").over(w)).drop("x")
 
@@ -603,17 +676,19 @@ def reconstruction_error(spark, sf):
     return d.agg(F.round(F.avg("mse"), 12).alias("mse"), F.round(F.avg(F.sqrt("mse")), 9).alias("rmse"), F.round(F.avg("cos"), 9).alias("avg_cosine"), F.round(F.min("cos"), 9).alias("min_cosine"), F.round(F.avg("rel"), 9).alias("relative"))
 
 
-@query(f"WITH {BASE}, {_kmeans(0)} SELECT round(corr({_dot('x', 'qv')}, {_l2('x', 'qv')}), 6) AS pearson FROM v, q")
+@query(f"WITH {BASE}, {CODES}, y AS (SELECT vec_id, x, {_dec()} AS y FROM coded) SELECT round(corr({_dot('x', 'qv')}, {_dot('y', 'qv')}), 9) AS pearson FROM y, q")
 def attention_correlation(spark, sf):
-    return S.pairs(*_both(spark, sf)).agg(F.round(F.corr(V.dot(F.col("x"), F.col("qv")), V.l2sq(F.col("x"), F.col("qv"))), 6).alias("pearson"))
+    """Scores of keys and of the same keys after 8-bit codes, over all queries."""
+    y = _codes(spark, sf).select("vec_id", "x", V.sq8_decode(F.col("code"), F.col("lo"), F.col("hi")).alias("y"))
+    return S.pairs(y, probe_set(vectors(spark, sf))).agg(F.round(F.corr(V.dot(F.col("x"), F.col("qv")), V.dot(F.col("y"), F.col("qv"))), 9).alias("pearson"))
 
 
-@query(f"WITH {BASE}, f AS (SELECT i, j, avg(x[i] * x[j]) - avg(x[i]) * avg(x[j]) AS cov FROM v, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL) SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(cov, 9) AS cov FROM f")
+@query(f"WITH {BASE}, f AS (SELECT i, j, avg(x[i] * x[j]) - avg(x[i]) * avg(x[j]) AS cov FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(cov, 9) AS cov FROM f")
 def covariance(spark, sf):
-    """The Gram aggregate behind the learned rotations (first 8 dimensions)."""
+    """The Gram aggregate behind the learned rotations."""
     from vecforge.operators import transforms
 
-    return transforms.covariance(vectors(spark, sf), 8)
+    return transforms.covariance(vectors(spark, sf), D)
 
 
 # --- text metrics -------------------------------------------------------------------------------------------------
@@ -649,16 +724,27 @@ def classification_score(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.coalesce(F.round(T.classification_score(F.concat("props", F.lit(" "), "event_type"), F.col("event_type"), classes), 6), F.lit(0.0)).alias("score"))
 
 
+def _persisted(spark, sf, kind):
+    """Built, written partitioned by list, read again and searched; the folder is deleted when the session's Python ends."""
+    index, q = _inverted(spark, sf, kind)
+    path = store.scratch(spark, "index")
+    index.save(path)
+    return S.final(E.load(spark, path, kind).search(q, K, NPROBE, REFINE))
+
+
 @query(_SQL["rabitq_ivf_sq8_knn"])
 def persisted_ivf_knn(spark, sf):
-    """Built, written partitioned by cluster, read again and searched: the probes prune partitions."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    lists, q, model = _lists(spark, sf, "sign+sq8")
-    path = f"{base.rstrip('/')}/vecforge-index-{uuid.uuid4().hex[:12]}"
-    n = lists.count()
-    store.save_index(spark, path, lists, store.IndexMeta("SignIVF", D, n, 1, nlist=NLIST, kmeans_niter=ROUNDS), {"centroids": model})
-    rows, _ = store.load_index(spark, path, "SignIVF")
-    return S.final(S.ivf(rows, q, store.load_model(spark, path, "centroids"), NPROBE, K, "sign+sq8", D, REFINE))
+    return _persisted(spark, sf, "SignIVF")
+
+
+@query(_SQL["tq_ivf_sq8_knn"])
+def persisted_tq_ivf_knn(spark, sf):
+    return _persisted(spark, sf, "BookIVF")
+
+
+@query(_SQL["tq4_sq8_knn"])
+def persisted_tq_flat_knn(spark, sf):
+    v, q = _both(spark, sf)
+    path = store.scratch(spark, "index")
+    E.build(v, "BookFlat", D).save(path)
+    return S.final(E.load(spark, path, "BookFlat").search(q, K, refine=REFINE))

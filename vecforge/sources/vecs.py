@@ -12,40 +12,45 @@ from pyspark.sql import functions as F
 MAX_DIM = 65536
 
 
-def _parse(content: bytes, kind: str) -> np.ndarray:
-    if not content:
-        return np.empty((0, 0), kind)
-    d = int(np.frombuffer(content, "<i4", 1)[0])
-    if not 1 <= d <= MAX_DIM or len(content) % (4 + 4 * d):
-        raise ValueError(f"not a vector file: dimension {d}, {len(content)} bytes")
-    rows = np.frombuffer(content, "<i4").reshape(-1, d + 1)
-    if (rows[:, 0] != d).any():
-        raise ValueError("records differ in dimension")
-    return rows[:, 1:].view(kind)
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, dimension, records) of each file, in the order of their paths; only the first four bytes of each are read here."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for s in (fs.globStatus(top) or []) for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    out = []
+    for f in sorted((str(x.getPath()), x.getLen()) for x in found if x.isFile()):
+        if not f[1]:
+            continue
+        with_d = fs.open(jvm.org.apache.hadoop.fs.Path(f[0]))
+        try:
+            d = int.from_bytes(with_d.readInt().to_bytes(4, "big", signed=True), "little", signed=True) if f[1] >= 4 else 0
+        finally:
+            with_d.close()
+        if not 1 <= d <= MAX_DIM or f[1] % (4 + 4 * d):
+            raise ValueError(f"not a vector file: dimension {d}, {f[1]} bytes")
+        out.append((f[0], d, f[1] // (4 + 4 * d)))
+    return out
 
 
 def _read(spark: SparkSession, path: str, kind: str, element: str) -> DataFrame:
-    """(id, v): files in the order of their paths, ids count from 0. A file is one task; split large sets into files."""
-    files = spark.read.format("binaryFile").load(path)
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "n": [len(_parse(c, kind)) for c in b["content"]]})
-
-    counted = sorted(map(tuple, files.select("path", "content").mapInPandas(sizes, "path string, n long").collect()))
-    start, at = {}, 0
-    for p, n in counted:
-        start[p], at = at, at + n
+    """(id, v): files in the order of their paths, ids count from 0. Files are split into tasks at record borders, so their size doesn't matter."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, c in zip(b["path"], b["content"], strict=True):
-                m = _parse(c, kind)
-                for a in range(0, len(m), 4096):
-                    part = m[a : a + 4096]
-                    yield pd.DataFrame({"id": start[p] + a + np.arange(len(part)), "v": list(part)})
-
-    return files.select("path", "content").mapInPandas(rows, f"id long, v array<{element}>")
+            if len(b):
+                raw = np.stack([np.frombuffer(x, "<i4") for x in b["b"]])
+                if (raw[:, 0] != raw.shape[1] - 1).any():
+                    raise ValueError("records differ in dimension")
+                yield pd.DataFrame({"id": b["id"], "v": list(np.ascontiguousarray(raw[:, 1:]).view(kind))})
+
+    out, at = None, 0
+    for name, d, n in _files(spark, path):
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(4 + 4 * d)}
+        rdd = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        one = spark.createDataFrame(rdd, "id long, b binary").select((F.col("id") + at).alias("id"), "b").mapInPandas(rows, f"id long, v array<{element}>")
+        out, at = one if out is None else out.unionAll(one), at + n
+    return spark.createDataFrame([], f"id long, v array<{element}>") if out is None else out
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
