@@ -69,6 +69,58 @@ def test_block_form_agrees(data):
     assert E.build(v.limit(0), "RawFlat", 32).search(q, 7).count() == 0
 
 
+def test_transform_passes():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(7, 24))
+    h = np.array([[(-1) ** bin(i & j).count("1") for j in range(32)] for i in range(32)])
+    assert np.allclose(M.fwht(np.eye(32)), h) and M.fwht(np.array([[1, 0, 0, 0]])).tolist() == [[1, 1, 1, 1]]
+    assert np.allclose(M.rotate(x), x @ M.rotation(24).T) and np.allclose(M.unrotate(M.rotate(x), 24), x)
+    f = transforms.random_rotation(4, 6, 1)
+    assert f.shape == (6, 4) and np.allclose(f.T @ f, 1.5 * np.eye(4))
+
+
+def test_learned_front(spark, data, tmp_path):
+    v, q = data
+    truth = S.exact(v, q, 10).cache()
+    index = E.build_opq(v, 32, 4, 8, 2, nlist=4, rounds=2)
+    index.save(f"{tmp_path}/opq")
+    for x in (index, E.load(spark, f"{tmp_path}/opq")):
+        assert S.recall(x.search(q, 10, 4), truth, 10).first()["recall"] > 0.85
+    a, _ = transforms.pca(v, 32, 8, bins=4, rotate=3)
+    assert transforms.is_orthonormal(a, 1e-6)
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from vecforge import cli
+
+    v, q = data
+    at = lambda x: f"{tmp_path}/{x}"
+    v.select("vec_id", F.col("x").cast("array<float>").alias("embedding")).write.parquet(at("v"))
+    v.where("vec_id < 5").select("vec_id").write.parquet(at("gone"))
+    q.write.parquet(at("q"))
+    (tmp_path / "c.toml").write_text("[index]\nd = 32\nnlist = 4\nniter = 2\n[query]\nk = 3\n")
+    run = lambda *a: cli.main(["--config", at("c.toml"), "--events", at("events"), *a], spark)
+    assert run("build", at("i"), at("v"), "--kind", "BookFlat") == 0
+    assert run("delete", at("i"), at("gone"), "--to", at("i2")) == 0 and run("insert", at("i2"), at("v"), "--to", at("i3")) == 0
+    assert run("search", at("i2"), at("q"), at("out")) == 0 and run("stats", at("i3")) == 0 and run("config") == 0
+    out = spark.read.parquet(at("out"))
+    assert out.count() == 3 * q.count() and not out.where("vec_id < 5").count()
+    assert "600" in capsys.readouterr().out
+    assert [r[0] for r in spark.read.parquet(at("events")).orderBy("at").collect()] == ["IndexBuilt", "IndexPersisted", "IndexPersisted", "IndexPersisted"]
+
+
+def test_polar_store(spark, tmp_path):
+    codec = polar.Polar(8, 8, 6)
+    polar.save(spark, f"{tmp_path}/codec", codec)
+    back = polar.load(spark, f"{tmp_path}/codec")
+    r = np.random.default_rng(3)
+    w = r.normal(size=(5, 20))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(w)], "row long, w array<double>")
+    got = {x["row"]: np.array(x["w"]) for x in polar.weight_restore(polar.weight_blocks(df, codec), back).collect()}
+    cos = [got[i] @ w[i] / np.linalg.norm(got[i]) / np.linalg.norm(w[i]) for i in range(5)]
+    assert all(len(got[i]) == 20 for i in range(5)) and min(cos) > 0.8
+
+
 def test_pack():
     r = np.random.default_rng(1)
     for bits in (1, 3, 4, 6, 8):

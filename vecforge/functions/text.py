@@ -94,10 +94,11 @@ def rouge_zh(prediction: Column, truth: Column) -> Column:
 
 
 def code_sim_score(prediction: Column, truth: Column) -> Column:
-    """Likeness (1 - edit distance / longer length) of the truth with the prediction's first line that is no comment or fence."""
+    """Fuzzy ratio (twice the common subsequence by both lengths) of the truth with the prediction's first line that is no comment or fence."""
     lines = F.filter(F.split(F.ltrim(prediction), "\n"), lambda x: ~(F.contains(x, F.lit("`")) | F.contains(x, F.lit("#")) | F.contains(x, F.lit("//"))))
     line = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return 1 - F.levenshtein(line, truth) / F.greatest(F.lit(1), F.length(line), F.length(truth))
+    a, b = characters(line), characters(truth)
+    return F.when(F.size(a) + F.size(b) > 0, 2 * lcs(a, b) / (F.size(a) + F.size(b))).otherwise(F.lit(1.0))
 
 
 def extract_answer(s: Column) -> Column:

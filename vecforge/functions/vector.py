@@ -122,6 +122,22 @@ def book_decode(code: Column, centroids: Column) -> Column:
     return F.transform(code, lambda i: F.get(centroids, i))
 
 
-def pack(code: Column, bits: int) -> Column:
-    """Hexadecimal text of the codes, bits each, most significant first (for storage)."""
-    return F.array_join(F.transform(code, lambda i: F.lpad(F.conv(i.cast("string"), 10, 2), bits, "0")), "")
+def split_tables(q: Column, centroids: Column) -> Column:
+    """For each dimension of q the squared distance to each centroid: computed once a query."""
+    return F.transform(q, lambda x: F.transform(centroids, lambda c: (c - x) * (c - x)))
+
+
+def table_distance(tables: Column, code: Column) -> Column:
+    """The coded distance by table look-ups."""
+    return total(F.zip_with(tables, code, lambda t, i: F.get(t, i)))
+
+
+def sq8_query(q: Column, lo: Column, hi: Column) -> Column:
+    """A query in units of the 8-bit codes."""
+    return F.zip_with(F.zip_with(q, lo, lambda a, b: a - b), F.zip_with(hi, lo, lambda a, b: (a - b) / 255), lambda a, s: a / s)
+
+
+def sq8_query_distance(code: Column, prepared: Column, lo: Column, hi: Column) -> Column:
+    """The distance in code units times the mean squared step: an approximation, exact where all steps are equal."""
+    steps = F.zip_with(hi, lo, lambda a, b: ((a - b) / 255) * ((a - b) / 255))
+    return total(F.zip_with(code, prepared, lambda c, p: (c - p) * (c - p))) * total(steps) / F.size(steps)

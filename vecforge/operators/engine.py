@@ -41,7 +41,8 @@ def unpack_bits(packed: np.ndarray, bits: int, d: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Models:
-    """What a quantiser has learned: centroids (one row: the mean, for flat sign codes), 8-bit ranges of each, rotation and codebook."""
+    """What a quantiser has learned: centroids (one row: the mean, for flat sign codes), 8-bit ranges of each, rotation and
+    codebook, and a linear transform that all vectors and queries go through before."""
 
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
     lo: np.ndarray | None = None
@@ -49,6 +50,7 @@ class Models:
     rotation: np.ndarray | None = None
     cents: np.ndarray | None = None
     bounds: np.ndarray | None = None
+    before: np.ndarray | None = None
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         n = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -76,6 +78,19 @@ def encode(kind: str, bits: int, models: Models, x: np.ndarray, cluster: np.ndar
     return {"code": code, "n2": (r * r).sum(axis=1), "l1": np.abs(r).sum(axis=1), "o2": (x * x).sum(axis=1), "sq8": sq8}
 
 
+def transformed(df: DataFrame, a: np.ndarray | None, *columns: str) -> DataFrame:
+    """df (a long and a vector column) with the vectors multiplied by a."""
+    if a is None:
+        return df
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({columns[0]: b[columns[0]], columns[1]: list(_matrix(b[columns[1]]) @ a.T)})
+
+    return df.select(*columns).mapInPandas(run, f"{columns[0]} long, {columns[1]} array<double>")
+
+
 def encoded(vectors: DataFrame, kind: str, bits: int, models: Models) -> DataFrame:
     """Index rows of vectors (vec_id, x), in one pass without a shuffle."""
 
@@ -237,7 +252,7 @@ class Index:
         rows = self.live() if where is None else self.live().where(where)
         names = {"vec_id": "int64", "code": "bytes", "n2": "float64", "l1": "float64", "o2": "float64", "sq8": "bytes"}
         ivf = self.kind.endswith("IVF")
-        own = self._queries(queries, nprobe)
+        own = self._queries(transformed(queries, self.models.before, "qid", "qv"), nprobe)
         if ivf:  # at most as many lists as the model has: prunes the partitions of a saved index
             rows = rows.where(F.col("cluster_id").isin([r[0] for r in own.select("cluster_id").distinct().collect()]))
         blocks = _blocks(rows, "cluster_id", ROWS, names, sort=ivf)
@@ -269,7 +284,7 @@ class Index:
 
     def insert(self, vectors: DataFrame) -> Index:
         """The index with new vectors (vec_id, x): assigned, encoded and appended; a vector whose id is there replaces it."""
-        new = encoded(vectors, self.kind, self.bits, self.models)
+        new = encoded(transformed(vectors, self.models.before, "vec_id", "x"), self.kind, self.bits, self.models)
         old = self.live().join(vectors.select("vec_id").distinct(), "vec_id", "left_anti")
         return replace(self, rows=old.unionByName(new), tombstones=None)
 
@@ -315,7 +330,7 @@ class Index:
         spark = self.rows.sparkSession
         rows = self.live()
         meta = store.IndexMeta(self.kind, self.d, rows.count(), 1 if self.kind.startswith("Sign") else self.bits, self.models.lo is not None, self.metric, len(self.models.centroids) if self.kind.endswith("IVF") else 0)
-        arrays = {n: getattr(self.models, n) for n in ("centroids", "lo", "hi", "rotation", "cents", "bounds")}
+        arrays = {n: getattr(self.models, n) for n in ("centroids", "lo", "hi", "rotation", "cents", "bounds", "before")}
         data = [(n, [float(v) for v in a.ravel()], list(a.shape)) for n, a in arrays.items() if a is not None]
         store.save_index(spark, path, rows, meta, {"models": spark.createDataFrame(data, "name string, v array<double>, shape array<int>").coalesce(1)})
 
@@ -327,10 +342,12 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
     return Index(meta.index_type, meta.d, rows.select(*[c.split()[0] for c in _ROW.split(", ")]), models, meta.nbits if meta.index_type.startswith("Book") else 4, meta.metric)
 
 
-def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True, nlist: int = 16, rounds: int = 20, metric: str = "l2", seed: int = 42, centroids: np.ndarray | None = None) -> Index:
-    """Trains what the kind needs on vectors (vec_id, x) and encodes them. centroids: lists that are trained already."""
+def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True, nlist: int = 16, rounds: int = 20, metric: str = "l2", seed: int = 42, centroids: np.ndarray | None = None, before: np.ndarray | None = None) -> Index:
+    """Trains what the kind needs on vectors (vec_id, x) and encodes them. centroids: lists that are trained already (of transformed
+    vectors); before: a d x d matrix that vectors and queries are multiplied by first, as a learned rotation."""
     if kind not in KINDS or metric not in METRICS:
         raise ValueError(f"kind is one of {KINDS}, metric of {METRICS}")
+    vectors = transformed(vectors, before, "vec_id", "x")
     if centroids is None:
         if kind.endswith("IVF"):
             centroids = np.array(M.kmeans(vectors, nlist, rounds, seed).first()["ms"]).reshape(-1, d)
@@ -338,7 +355,7 @@ def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True
             centroids = np.array(M.mean(vectors).first()["c"] or [0.0] * d).reshape(1, d)
         else:
             centroids = np.zeros((1, d))
-    models = Models(centroids)
+    models = Models(centroids, before=before)
     if kind == "SQ8Flat" or sq8 and not kind.startswith("Raw"):
         lo, hi = _ranges(vectors, centroids if kind.endswith("IVF") else None, len(centroids), d)
         models = replace(models, lo=lo, hi=hi)
@@ -349,6 +366,14 @@ def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True
     return Index(kind, d, encoded(vectors, kind, bits, models), models, bits, metric)
 
 
+def build_opq(vectors: DataFrame, d: int, parts: int = 8, k: int = 16, turns: int = 3, **options) -> Index:
+    """Inverted lists of sign codes behind a learned rotation (product quantiser's) and the randomised Hadamard rotation; d is a power of two."""
+    from . import transforms
+
+    learned, _ = transforms.opq(vectors, d, parts, k, turns)
+    return build(vectors, "SignIVF", d, before=M.rotation(d) @ learned, **options)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, nprobe: int = 8, refine: int = 10, where: Column | None = None) -> DataFrame:
     """One entry for all kinds of index: see Index.search."""
     return index.search(queries, k, nprobe, refine, where)

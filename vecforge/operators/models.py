@@ -18,15 +18,67 @@ def signs(seed: int, round_: int, d: int) -> list[int]:
     return [1 if int(hashlib.md5(f"{seed}:{round_}:{i}".encode()).hexdigest()[0], 16) % 2 == 0 else -1 for i in range(d)]
 
 
+def fwht(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of the rows of x, whose length p is a power of two, in log2 p passes; not scaled."""
+    p, width = x.shape[-1], 1
+    while width < p:
+        pair = x.reshape(*x.shape[:-1], p // (2 * width), 2, width)
+        top, low = pair[..., 0, :], pair[..., 1, :]
+        x = np.stack([top + low, top - low], axis=-2).reshape(x.shape)
+        width *= 2
+    return x
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    p = V.next_power_of_2(x.shape[-1])
+    return np.concatenate([x, np.zeros((*x.shape[:-1], p - x.shape[-1]), x.dtype)], axis=-1)
+
+
+def rotate(x: np.ndarray, seed: int = 12345) -> np.ndarray:
+    """The randomised Hadamard rotation of rows: three rounds of signs and transform; rows are padded to a power of two."""
+    y = _padded(x)
+    p = y.shape[-1]
+    for r in (1, 2, 3):
+        y = fwht(np.array(signs(seed, r, p)) * y)
+    return y / (p * p**0.5)
+
+
+def unrotate(y: np.ndarray, d: int, seed: int = 12345) -> np.ndarray:
+    """The inverse of rotate: the rounds backwards, then the first d components."""
+    p = y.shape[-1]
+    for r in (3, 2, 1):
+        y = np.array(signs(seed, r, p)) * fwht(y)
+    return y[..., :d] / (p * p**0.5)
+
+
 def rotation(d: int, seed: int = 12345) -> np.ndarray:
-    """Randomised Hadamard rotation of d padded to a power of two: three rounds of signs and Walsh-Hadamard, scaled to be orthogonal."""
+    """The rotation as a matrix, from exact integers: d columns, as many rows as the padded length."""
     p = V.next_power_of_2(d)
-    i = np.arange(p)
-    h = np.where(np.array([[bin(a & b).count("1") & 1 for b in i] for a in i]) == 0, 1, -1)
-    m = np.eye(p, dtype=np.int64)
+    y = np.eye(p, dtype=np.int64)
     for r in (1, 2, 3):
-        m = h @ (np.array(signs(seed, r, p))[:, None] * m)
-    return (m / (p * p**0.5))[:, :d]
+        y = fwht(np.array(signs(seed, r, p)) * y)
+    return (y.T / (p * p**0.5))[:, :d]
+
+
+def _each(df: DataFrame, x: str, out: str, f) -> DataFrame:
+    """(vec_id, out): f of the matrix of each batch's vectors x."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"vec_id": b["vec_id"], out: list(f(matrix(b[x])))})
+
+    return df.select("vec_id", x).mapInPandas(run, f"vec_id long, {out} array<double>")
+
+
+def hadamard(df: DataFrame, x: str = "x", out: str = "y") -> DataFrame:
+    """(vec_id, out): one unsigned transform of x, scaled by 1 / sqrt(padded length) and cut back to the length of x."""
+    return _each(df, x, out, lambda m: fwht(_padded(m))[:, : m.shape[1]] / V.next_power_of_2(m.shape[1]) ** 0.5)
+
+
+def unrotated(df: DataFrame, d: int, y: str = "z", out: str = "x", seed: int = 12345) -> DataFrame:
+    """(vec_id, out): the vectors of which y are the rotations."""
+    return _each(df, y, out, lambda m: unrotate(m, d, seed))
 
 
 def codebook(bits: int, d: int, grid: int = 32768, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:

@@ -128,3 +128,13 @@ def cluster_offsets(assigned: DataFrame) -> DataFrame:
 def code_bytes(method: str, d: int, bits: int = 4, sq8: bool = True) -> int:
     base = {"sign": d // 8 + 8, "book": (d * bits + 7) // 8, "sq8": 0, "raw": 4 * d}[method]
     return base + (d if sq8 and method != "raw" else 0)
+
+
+def notify(spark: SparkSession, folder: str, event: str, **detail: object) -> None:
+    """Appends an event (IndexBuilt, IndexPersisted, WriteProgress, Error) to the folder's table, which a stream can follow."""
+    spark.createDataFrame([(event, json.dumps(detail))], "event string, detail string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(folder)
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """(event, detail, at) as a stream."""
+    return spark.readStream.schema("event string, detail string, at timestamp").parquet(folder)

@@ -38,20 +38,34 @@ def covariance(df: DataFrame, d: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
-def pca(df: DataFrame, d: int, out: int, eigen_power: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix out x d, mean): the leading axes, scaled by eigenvalue ** eigen_power (-0.5 whitens)."""
+def pca(df: DataFrame, d: int, out: int, eigen_power: float = 0.0, rotate: int | None = None, bins: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix out x d, mean): the leading axes, scaled by eigenvalue ** eigen_power (-0.5 whitens).
+
+    rotate: seed of a random rotation after it. bins: axes are dealt to so many equal groups of neighbours, each axis to the
+    group whose product of eigenvalues is least so far, so that parts of a product quantiser hold even variance.
+    """
     n = df.count()
     mean = np.array(M.mean(df).first()[0])
     values, axes = np.linalg.eigh(gram(df, d) / n - np.outer(mean, mean))
     order = np.argsort(-values)[:out]
-    return (axes[:, order] * np.maximum(values[order], 1e-12) ** eigen_power).T, mean
+    if bins:
+        groups: list[list[int]] = [[] for _ in range(bins)]
+        weight = np.zeros(bins)
+        for i in order:
+            free = [g for g in range(bins) if len(groups[g]) < out // bins] or list(range(bins))
+            g = min(free, key=lambda g: (weight[g], g))
+            groups[g].append(int(i))
+            weight[g] += np.log(max(values[i], 1e-12))
+        order = np.array([i for g in groups for i in g])
+    a = (axes[:, order] * np.maximum(values[order], 1e-12) ** eigen_power).T
+    return (a if rotate is None else random_rotation(out, out, rotate) @ a), mean
 
 
 def random_rotation(d_in: int, d_out: int, seed: int) -> np.ndarray:
-    """Orthonormal rows or columns from the QR factorisation of a Gaussian matrix."""
+    """Orthonormal rows (d_out <= d_in), or a tight frame (d_out > d_in): orthonormal columns scaled by sqrt(d_out / d_in)."""
     g = np.random.default_rng(seed).normal(size=(max(d_in, d_out),) * 2)
     q, r = np.linalg.qr(g)
-    return (q * np.sign(np.diag(r)))[:d_out, :d_in]
+    return (q * np.sign(np.diag(r)))[:d_out, :d_in] * max(1.0, d_out / d_in) ** 0.5
 
 
 def is_orthonormal(a: np.ndarray, eps: float = 4e-5) -> bool:

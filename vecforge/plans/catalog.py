@@ -254,6 +254,15 @@ def sq8_knn(spark, sf):
     return _flat(spark, sf, "SQ8Flat", 0)
 
 
+@query(f"WITH {BASE}, {CODES}, w AS (SELECT list_sum(list_transform(range(1, 65), lambda i: ((hi[i] - lo[i]) / 255) ** 2)) / 64 AS w FROM sq) SELECT qid, vec_id, round(w * list_sum(list_transform(range(1, 65), lambda i: (code[i] - (qv[i] - lo[i]) / ((hi[i] - lo[i]) / 255)) ** 2)), 6) AS dist FROM coded, q, w")
+def sq8_query_distance(spark, sf):
+    """Distances in code units to a query that is brought to them once."""
+    lo, hi = F.col("lo"), F.col("hi")
+    r = M.ranges(vectors(spark, sf))
+    q = probe_set(vectors(spark, sf)).crossJoin(F.broadcast(r)).select("qid", V.sq8_query(F.col("qv"), lo, hi).alias("prepared"))
+    return S.pairs(_codes(spark, sf), q).select("qid", "vec_id", F.round(V.sq8_query_distance(F.col("code"), F.col("prepared"), lo, hi), 6).alias("dist"))
+
+
 # --- sign codes ---------------------------------------------------------------------------------------------------
 
 
@@ -299,6 +308,19 @@ def rabitq_decode_error(spark, sf):
     return s.select("vec_id", F.round(V.l2sq(F.zip_with("s.signs", "c", lambda b, c: (b - 0.5) * F.col("m") + c), F.col("x")), 6).alias("err"))
 
 
+_MULTI = f"{MEAN}, mr AS (SELECT vec_id, c, {_zip('x', 'c', 'p[1] - p[2]')} AS r FROM v, mean), mu AS (SELECT vec_id, c, r, list_transform(r, lambda e: greatest(0, least(15, floor(e / greatest(list_max(list_transform(r, lambda a: abs(a))), 1e-12) * 8 + 8))) - 7.5) AS y FROM mr), mf AS (SELECT vec_id, c, y, {_sq('r')} AS n2, {_dot('r', 'y')} AS ry FROM mu)"
+
+
+@query(f"WITH {BASE}, {_MULTI} SELECT qid, vec_id, round(greatest(0.0, {_l2('qv', 'c')} + n2 + (CASE WHEN abs(ry) > 1e-12 THEN -2 * n2 / ry ELSE 0.0 END) * list_sum(list_transform(list_zip(qv, c, y), lambda p: (p[1] - p[2]) * p[3]))), 6) AS dist FROM mf, q")
+def multibit_distance(spark, sf):
+    """Sign codes of four bits about the mean."""
+    from vecforge.operators import quantize
+
+    v, q = _both(spark, sf)
+    coded = v.crossJoin(F.broadcast(M.mean(v))).select("vec_id", "c", quantize.multibit_encode(F.col("x"), F.col("c"), 4).alias("m"))
+    return S.pairs(coded, q).select("qid", "vec_id", F.round(quantize.multibit_distance(F.col("m"), F.col("qv"), F.col("c"), 4), 6).alias("dist"))
+
+
 # --- rotation and codebooks ---------------------------------------------------------------------------------------
 
 
@@ -316,6 +338,18 @@ def rotation_norm_check(spark, sf):
     return _z(spark, sf).select("vec_id", F.round(V.norm_sq(F.col("z")), 6).alias("rotated"), F.round(V.norm_sq(V.normalize(F.col("x"))), 6).alias("unit"))
 
 
+@query(f"WITH {BASE} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round(u[i], 6) AS value FROM (SELECT vec_id, {_unit('x')} AS u FROM v), range(1, 65) t(i)")
+def inverse_rotation(spark, sf):
+    """Rotated and rotated back: the unit vectors."""
+    return M.unrotated(_z(spark, sf).select("vec_id", "z"), D).select("vec_id", F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {BASE}, hd AS (SELECT i, list(CASE WHEN bit_count((i & j)::BIGINT) % 2 = 0 THEN 0.125 ELSE -0.125 END::DOUBLE ORDER BY j) AS row FROM range(0, 64) a(i), range(0, 64) b(j) GROUP BY i) SELECT vec_id, CAST(i AS INTEGER) AS dim, round({_dot('row', 'x')}, 6) AS value FROM v, hd")
+def hadamard_single(spark, sf):
+    """One unsigned transform, scaled."""
+    return M.hadamard(vectors(spark, sf)).select("vec_id", F.posexplode("y").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({b}, {i}, {round(float(c), 6)!r}::DOUBLE)" for b in (1, 2, 3, 4) for i, c in enumerate(M.codebook(b, D)[0])) + ") t(nbits, cell, centroid)")
 def lloydmax_codebook(spark, sf):
     rows = [(b, i, round(float(c), 6)) for b in (1, 2, 3, 4) for i, c in enumerate(M.codebook(b, D)[0])]
@@ -342,6 +376,14 @@ def tq4_distance(spark, sf):
     return S.pairs(t, q).select("qid", "vec_id", F.round(V.l2sq(V.book_decode(F.col("tq"), F.col("cents")), F.col("qz")), 6).alias("dist"))
 
 
+@query(f"WITH {BASE}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(4)}, {_TQE} SELECT qid, vec_id, round(d, 6) AS dist FROM e")
+def tq4_table_distance(spark, sf):
+    """The same distances by tables that are made once a query."""
+    q = S.rotated(probe_set(vectors(spark, sf)), "qv", "qz", M.rotation(D).tolist()).crossJoin(M.row(spark, book=M.codebook(4, D)[0].tolist()))
+    q = q.select("qid", V.split_tables(F.col("qz"), F.col("book")).alias("tables"))
+    return S.pairs(_tqcodes(spark, sf, 4).select("vec_id", "tq"), q).select("qid", "vec_id", F.round(V.table_distance(F.col("tables"), F.col("tq")), 6).alias("dist"))
+
+
 @query(_knn(f"{BASE}, {_rot_sql()}, {ROTZ}, {ROTQ}, {_tq(4)}, {_TQE}", "e"))
 def tq4_flat_knn(spark, sf):
     return _flat(spark, sf, "BookFlat", 0)
@@ -662,6 +704,30 @@ def topp_filter(spark, sf):
     return _softmax(spark, sf).withColumn("before", F.coalesce(F.sum(F.round("p", 9)).over(w), F.lit(0.0))).where("before < 0.9").select("user_id", "event_id")
 
 
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL) WHERE r <= 5")
+def topk_filter(spark, sf):
+    """The five greatest logits of each user; the limit is pushed below the exchange."""
+    r = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    return spark.read.parquet(f"{sf}/events.parquet").where("value is not null").withColumn("r", r).where("r <= 5").select("user_id", "event_id")
+
+
+@query(f"WITH {_SM}, c AS (SELECT user_id, event_id, sum(round(p, 9)) OVER (PARTITION BY user_id ORDER BY event_id) AS upto, round(p, 9) AS p FROM sm), u AS (SELECT user_id, max(upto) * ('0x' || substr(md5('7:' || user_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM c GROUP BY user_id) SELECT c.user_id, min(event_id) AS event_id FROM c JOIN u ON c.user_id = u.user_id AND upto > u GROUP BY c.user_id")
+def sample_row(spark, sf):
+    """One row of each user, drawn by its probability: the first whose cumulated probability passes a number that md5 gives the user."""
+    upto = F.sum(F.round("p", 9)).over(W.partitionBy("user_id").orderBy("event_id"))
+    c = _softmax(spark, sf).withColumn("upto", upto)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col("user_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    c = c.withColumn("u", F.max("upto").over(W.partitionBy("user_id")) * u)
+    return c.where("upto > u").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+@query("SELECT event_type, arg_max(event_id, {'v': value, 'i': -event_id}) AS event_id, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def best_rows(spark, sf):
+    """The row of the greatest value of each type (ties to the lowest id)."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
+    return e.groupBy("event_type").agg(F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("event_id"), F.max("value").alias("value"))
+
+
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS pooled FROM events WHERE value IS NOT NULL")
 def avg_pool(spark, sf):
     """Centred average of 5 with zero padding."""
@@ -718,6 +784,13 @@ def count_score(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(T.count_score(F.col("props"), (F.col("user_id") % 10).cast("string")), 6).alias("score"))
 
 
+@query("SELECT event_id, CASE WHEN len(regexp_extract_all(props, '\\d+')) > 0 THEN round(len(list_filter(regexp_extract_all(props, '\\d+'), lambda n: n = CAST(user_id % 10 AS VARCHAR))) / len(regexp_extract_all(props, '\\d+')), 6) ELSE 0.0 END::DOUBLE AS score FROM events")
+def retrieval_score(spark, sf):
+    """Share of a text's numbers that name the paragraph."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", F.round(T.retrieval_score(F.col("props"), F.concat(F.lit("Paragraph "), (F.col("user_id") % 10).cast("string"))), 6).alias("score"))
+
+
 @query("WITH h AS (SELECT event_id, event_type, list_filter(['click', 'view', 'purchase', 'error', 'signup'], lambda c: contains(props || ' ' || event_type, c) AND NOT (contains(event_type, c) AND c <> event_type)) AS hit FROM events) SELECT event_id, CASE WHEN list_contains(hit, event_type) THEN round(1.0 / len(hit), 6) ELSE 0.0 END::DOUBLE AS score FROM h")
 def classification_score(spark, sf):
     classes = F.array(*[F.lit(c) for c in ("click", "view", "purchase", "error", "signup")])
