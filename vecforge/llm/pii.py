@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, sized
+from .common import release, save, sized
 from .secrets import digest
 
 # The kinds, in this order, and their patterns (repetitions that nothing follows are possessive: same matches, no backtracking).
@@ -18,7 +18,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SUPPORT = 3
 #: and the entity must follow from the term with at least this probability, and the term raise it by so many bits.
 DISCLOSURE, BITS = 0.5, 4.0
-_WORD = r"[\p{L}][\p{L}\p{M}'’-]{3,}"
+_WORD = r"[\p{L}][\p{L}\p{M}'’-]+"
 
 
 def _luhn(digits: Column) -> Column:
@@ -84,32 +84,37 @@ def _without(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
-def disclosing_terms(found: DataFrame) -> DataFrame | None:
+def disclosing_terms(texts: DataFrame, held: DataFrame) -> DataFrame | None:
     """(m, term, n, bits): terms that reveal the entity m, over the whole corpus; None if there are none.
 
-    n is the number of different texts (so copies of a page count once) that hold both anywhere, the term outside of
-    entities; p(m | term) = n / different texts with the term; bits = log2(p(m | term) / p(m)), p(m) by rows. Texts with
-    a term are counted over all documents for candidate terms only.
+    texts: (h, text) of all rows; held: (h, ms, rest) of those with entities ms, rest being the text without them. n and the
+    texts with the term are counts of different texts: each of c copies counts 1 / c. n texts hold both anywhere, the term outside of entities;
+    p(m | term) = n / those with the term; bits = log2(p(m | term) / p(m)), p(m) by rows. Words of two or more letters are terms. Texts
+    with a term are counted over all documents, for those terms that can still reach the thresholds.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_WORD), F.lit(0)))
-    held = found.where("size(ms) > 0").select("h", F.explode("ms").alias("m"))
-    total = max(1, found.count())
+    again = save(texts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "again")
+    total = max(1, texts.count())
+    again = sized(again, 16)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0)))
+    weigh = lambda df: df.join(again, "h", "left").withColumn("w", 1 / F.coalesce("c", F.lit(1)))
+    number = F.round(F.sum("w")).cast("long")
     # n is at most the texts with m, and p at most 1: other entities cannot reach the least support or bits
-    own = held.groupBy("m").agg(F.count("*").alias("own"), F.count_distinct("h").alias("texts"))
-    own = save(own.where((F.col("texts") >= SUPPORT) & (F.col("own") * 2**BITS <= total)).drop("texts"), "entities")
-    holders = save(held.join(sized(own, 128), "m", "left_semi").groupBy("h").agg(F.collect_set("m").alias("own_ms")), "holders")
-    once = found.where("size(ms) > 0").select("h", "rest").join(sized(holders, 256), "h").dropDuplicates(["h"])
-    once = save(once.select("own_ms", words.alias("words")), "once")
-    pairs = once.select("own_ms", F.explode("words").alias("term")).select(F.explode("own_ms").alias("m"), "term")
+    own = weigh(held).select("w", F.explode("ms").alias("m")).groupBy("m").agg(F.count("*").alias("own"), number.alias("different"))
+    own = save(own.where((F.col("different") >= SUPPORT) & (F.col("own") * 2**BITS <= total)).drop("different"), "entities")
+    with_m = held.select("h", F.explode("ms").alias("m")).distinct().join(sized(own, 128), "m", "left_semi").groupBy("h").agg(F.collect_set("m").alias("own_ms"))
+    once = weigh(held).join(sized(save(with_m, "holders"), 256), "h").select("w", "own_ms", words("rest").alias("words"))
+    once = save(once, "once")
+    pairs = once.select("w", "own_ms", F.explode("words").alias("term")).select("w", F.explode("own_ms").alias("m"), "term")
     # a term is in at least as many texts as in those with any such entity: words that are common there go early
-    seen = once.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
-    often = pairs.groupBy("m", "term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
+    seen = once.select("w", F.explode("words").alias("term")).groupBy("term").agg(number.alias("seen"))
+    often = pairs.groupBy("m", "term").agg(number.alias("n")).where(f"n >= {SUPPORT}")
     often = save(often.join(seen, "term").where(f"n >= {DISCLOSURE} * seen").drop("seen"), "pairs")
     terms = save(often.select("term").distinct(), "terms")
     if terms.isEmpty():
         return None
-    texts = found.select("h", F.explode(words).alias("term")).join(sized(terms, 64), "term", "left_semi")
-    df = texts.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    rest = texts.join(sized(save(held.select("h").distinct(), "held_h"), 8), "h", "left_anti").select("h", F.col("text").alias("rest")).union(held.select("h", "rest"))
+    # a text's words differ already: partial sums, one row for each term and task, are all that is exchanged
+    df = weigh(rest).select("w", F.explode(words("rest")).alias("term")).join(sized(terms, 64), "term", "left_semi").groupBy("term").agg(number.alias("df"))
     out = often.join(df, "term").join(own, "m").withColumn("p", F.col("n") / F.col("df")).withColumn("bits", F.log2(F.col("p") * total / F.col("own")))
     out = save(out.where(f"p >= {DISCLOSURE} and bits >= {BITS}").select("m", "term", "n", "bits"), "disclosing")
     return None if out.isEmpty() else out
@@ -119,26 +124,38 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) for each row: base and all spans, arrays of (start, kind, end) sorted by start, then kind.
 
     Offsets count code points, ends are exclusive. Kind 4 ('term') marks, in documents that hold an entity, the terms
-    that reveal it. Null and empty texts have no spans; a null doc_id has its fixed patterns and terms like any other.
+    that reveal it. Null and empty texts have no spans, very long ones are read whole; a null doc_id has its fixed patterns
+    and terms like any other; rows that repeat an id or a text have equal spans for equal texts. Other columns are ignored,
+    so none clash, and an empty table gives an empty table. A term that reveals several entities is marked once.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _scanned(docs).drop("text")
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """scan() with the text."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     full = text.withColumn("b", _base(F.col("text")))
-    base = F.transform("b", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     ms = F.array_distinct(F.transform("b", lambda x: F.lower(x["m"])))
-    found = save(full.select("doc_id", F.xxhash64("text").alias("h"), base.alias("base"), ms.alias("ms"), _without(F.col("text"), F.col("b")).alias("rest")), "found")
-    terms = disclosing_terms(found)
+    held = save(full.where("size(b) > 0").select("h", ms.alias("ms"), _without(F.col("text"), F.col("b")).alias("rest")), "held")
+    terms = disclosing_terms(text.select("h", "text"), held)
+    base = F.transform("b", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    found = full.select("doc_id", "text", "h", base.alias("base"))
     if terms is None:
-        return found.select("doc_id", "base", F.col("base").alias("spans"))
-    held = found.where("size(ms) > 0").select("h", F.explode("ms").alias("m")).distinct()
-    own = save(held.join(sized(terms, 128), "m").groupBy("h").agg(F.array_sort(F.collect_set("term")).alias("terms")), "own")
+        release(held)
+        return found.select("doc_id", "text", "base", F.col("base").alias("spans"))
+    with_m = held.select("h", F.explode("ms").alias("m")).distinct()
+    own = save(with_m.join(sized(terms, 128), "m").groupBy("h").agg(F.array_sort(F.collect_set("term")).alias("terms")), "own")
+    release(held)
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:\Q"), F.array_join("terms", r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{M}])"))
-    more = text.withColumn("h", F.xxhash64("text")).join(sized(own, 256), "h").dropDuplicates(["h"]).select("h", F.transform(_found(F.col("text"), pattern, F.lit(True)), lambda x: F.struct(x["s"].alias("start"), F.lit(4).alias("kind"), x["e"].alias("end"))).alias("more"))
-    more = save(more, "more")
-    return found.join(sized(more, 512), "h", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    more = F.transform(_found(F.col("text"), pattern, F.lit(True)), lambda x: F.struct(x["s"].alias("start"), F.lit(4).alias("kind"), x["e"].alias("end")))
+    return found.join(sized(own, 512), "h", "left").select("doc_id", "text", "base", F.array_sort(F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", more))).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return digest(scan(docs), KINDS, 4)
+    """The digest of scan() and the sanitised text: entities generalised to their kind, disclosing terms too. An unchanged text is its own."""
+    found = _scanned(docs)
+    clean = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return digest(found, KINDS, 4, clean.alias("sanitised"))
 
 
 def redact(text: Column, spans: Column) -> Column:
