@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecforge.llm import decontaminate, langid, linededup, minhash, mixing
-from vecforge.llm.common import save, table
+from vecforge.llm.common import release, save, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all STAGES, each written and read again; a stage's input is deleted once its output is written.
+
+    Null and empty texts and texts without letters go in the first stage; very long texts are handled whole; of rows that repeat a doc_id
+    one stays; rows with a null doc_id are nobody's duplicate; columns beside doc_id and text are carried along, also those whose
+    names clash with columns that a stage makes for itself (those of the last stage's results are replaced); empty tables give an empty table.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        out = save(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = out
     return docs

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: A side is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 16 << 20
@@ -55,7 +56,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, statistics are known, a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -81,6 +82,21 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
 
+def extended(df: DataFrame, **more: str) -> StructType:
+    """df's schema and further nullable columns, as a schema object: any column name is allowed."""
+    return StructType([*df.schema.fields, *(f for name, kind in more.items() for f in DataType.fromDDL(f"{name} {kind}").fields)])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, unless they find it by PYTHONPATH as the driver does."""
     top = Path(__file__).resolve().parents[1]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, save, sized, small_batches
+from .common import components, fresh, release, save, sized, small_batches
 from .words import _G, mix, shingles, times_g
 
 #: Turns of comparing a band's classes with one of them, at most, before the rest is compared in blocks.
@@ -159,65 +159,83 @@ def _across(text: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...; other columns are ignored).
-
-    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles. Documents with equal
-    sets become one class first; then classes that share a band are compared with the band's first class, then, in bands
-    that still hold several components, with a class chosen by a hash, another each turn; last, in blocks, across components only:
-    within a component nothing is left to find, so no group is expanded into all its pairs and no link between
-    components is lost. Turns end as soon as comparing across components costs about as much as a turn. A null or empty text has no shingles and
-    links with nothing; a null doc_id has a null component and
-    is kept; rows that repeat a doc_id are placed each by its own text.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = save(text.mapInArrow(_sketcher(k, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sets")
-    classes = save(
-        sets.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
-    )
-    banded = save(classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "banded")
-    lead = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
-    star = save(banded.join(lead.drop("c"), "key").where(f"rep <> lead.rep and {fits}").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+def _linked(text: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component) of the classes (rep, n_shingles, bands) that are linked, saved."""
+    banded = classes.select("rep", F.explode("bands").alias("key"))
+    # only bands that several classes share: all later steps see their rows alone
+    shared = save(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c"), "shared")
+    size = classes.select("rep", F.col("n_shingles").alias("n"))
+    rest = save(banded.join(sized(shared, 24), "key").join(size, "rep"), "banded")
+    release(shared)
+    fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
+    star = rest.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n").distinct()
+    star = save(star.join(size.toDF("a", "lead_n"), "a").where(fits).select("a", "b"), "pairs")
     links = verify(text, star, k, percent)
     tried, comp = star, save(components(links), "comp")
+    rest = rest.drop("lead")
     for turn in range(1, STARS + 1):
         label = comp.select(F.col("id").alias("rep"), "component")
-        marked = banded.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        marked = save(rest.join(sized(label, 24), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "marked")
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-        rest = save(marked.join(mixed.select("key", "c"), "key"), "rest")
+        rest = save(marked.join(sized(save(mixed.select("key", "c"), "mixed"), 24), "key"), "rest")
+        release(marked)
         rows, squares = rest.agg(F.count("*"), F.sum("c")).first()
         if not rows:
-            release(rest)
             break
         final = turn == STARS or squares <= 8 * rows
         if final:
             more = _across(text, rest, k, percent)
         else:
             lead = rest.groupBy("key").agg(F.max_by(F.struct("comp", "rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
-            pairs = rest.join(lead, "key").where(f"comp <> lead.comp and {fits}").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+            near = fits.replace("lead_n", "lead.n")
+            pairs = rest.join(lead, "key").where(f"comp <> lead.comp and {near}").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
             pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             more = verify(text, pairs, k, percent)
             tried = save(tried.union(pairs), "tried")
-        release(rest)
         if not more.isEmpty():
             links = save(links.union(more), "links")
             comp = save(components(links), "comp")
         if final:
             break
-    comp = comp.withColumnRenamed("id", "rep")
+        rest = rest.select("key", "rep", "n")
+    return comp
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...; other columns are ignored).
+
+    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles. Documents with equal
+    sets become one class first; then classes that share a band are compared with the band's first class, then, in bands
+    that still hold several components, with a class chosen by a hash, another each turn; last, in blocks, across components only:
+    within a component nothing is left to find, so no group is expanded into all its pairs and no link between
+    components is lost. Turns end as soon as comparing across components costs about as much as a turn. A null or empty text has no shingles and
+    links with nothing; a null doc_id has a null component and
+    is kept; rows that repeat a doc_id are placed each by its own text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = save(text.mapInArrow(_sketcher(k, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sets")
+    # equal sets have equal bands, so any class member's bands serve, and its smallest doc_id is found without them
+    firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = save(firsts.join(sets.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep"), "bands"), ["c1", "c2", "n_shingles", "rep"]).dropDuplicates(["c1", "c2", "n_shingles"]), "classes")
+    comp = _linked(text, classes, k, percent).withColumnRenamed("id", "rep")
     placed = classes.select("c1", "c2", "n_shingles", "rep").join(comp, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("root"))
     out = sets.select("doc_id", "n_shingles", "c1", "c2").join(placed, ["c1", "c2", "n_shingles"], "left")
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
+    out = save(out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
+    release(sets, classes)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when each group of near duplicates keeps its smallest doc_id (rows that repeat it: one of them)."""
-    gone = save(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    out = docs.join(sized(gone, 16), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    known = out.where("doc_id is not null")
-    return known.dropDuplicates(["doc_id"]).union(out.where("doc_id is null")) if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else out
+    """The rows of docs that stay when each group of near duplicates keeps its smallest doc_id (rows that repeat it: one of them, the first by its text)."""
+    (i,) = fresh(docs, "_id")
+    same = F.col("doc_id").cast("long") == F.col(i)
+    gone = save(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(i)).distinct(), "gone")
+    out = docs.join(sized(gone, 16), same, "left_anti")
+    twice = save(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(i)).count().where("count > 1").select(i), "twice")
+    if twice.isEmpty():
+        return out
+    again, once = out.join(sized(twice, 16), same, "left_semi"), out.join(sized(twice, 16), same, "left_anti")
+    return once.union(again.dropDuplicates(["doc_id"]))
