@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import extended, release, save, sized, small_batches
 
 DOMAINS = ("good", "poor", "toxic")
 #: Share of all kept tokens that each domain should have.
@@ -40,14 +40,14 @@ class Classifier:
         self.w, self.prior = weights, prior
 
     @classmethod
-    def fit(cls, rows: list[tuple[str | None, int]], epochs: int = 0, rate: float = 8.0, decay: float = 2e-5, seed: int = 3) -> Classifier:
-        """epochs 0: as many as make about 40 000 steps of one row, between 5 and 25."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 0, rate: float = 8.0, decay: float = 2e-5, seed: int = 3) -> Classifier:
+        """rows: features and domain of each. epochs 0: as many as make about 40 000 steps of one row, between 5 and 25."""
         k = len(DOMAINS)
         epochs = epochs or max(5, min(25, 40_000 // max(1, len(rows))))
-        prior = np.bincount([y for _, y in rows], minlength=k) + 1.0
+        prior = np.bincount([r[2] for r in rows], minlength=k) + 1.0
         prior /= prior.sum()
-        x = [_features(t)[:2] for t, _ in rows]
-        y = np.array([y for _, y in rows], np.int64)
+        x = [r[:2] for r in rows]
+        y = np.array([r[2] for r in rows], np.int64)
         w = np.zeros((DIM + 1, k))
         w[DIM] = np.log(prior)
         r = np.random.default_rng(seed)
@@ -78,22 +78,34 @@ class Classifier:
         return p / p.sum(), n
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [_features(t)[:2] for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float64()))], ["doc_id", "y", "at", "v"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fits on at most `sample` labelled rows, chosen by a hash of the id. Rows with a null label or id teach nothing;
-    an id labelled twice takes its largest labels. Without labelled rows all domains are even."""
-    lab = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    size = lab.count()
-    share = min(1.0, 1.2 * sample / size) if size else 0.0
-    chosen = save(lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample), "labelled")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).alias("y")).limit(sample).collect()
-    return Classifier.fit(sorted(((r[0], r[1]) for r in rows), key=lambda r: (zlib.crc32((r[0] or "").encode("utf-8", "surrogatepass")), r[1])))
+    """Fits on at most `sample` labelled documents, those with the least hash of the id. Rows with a null label or id teach
+    nothing; an id labelled twice takes its largest labels; of rows that repeat an id one teaches. Without labelled rows all
+    domains are even. The driver gets the hashed features of the sample, never texts."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("_lab"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).where("_lab is not null and _q is not null and _t is not null")
+    lab = lab.groupBy("_lab").agg(F.max("_q").alias("_q"), F.max("_t").alias("_t"))
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    chosen = lab.join(there, F.col("_lab") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_lab"), "_lab").limit(sample)
+    chosen = save(chosen.select("_lab", F.when(F.col("_t") == 1, 2).when(F.col("_q") == 1, 0).otherwise(1).alias("y")), "labelled")
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(chosen, 16), F.col("doc_id") == F.col("_lab"))
+    own = own.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = own.mapInArrow(_featured, "doc_id long, y int, at array<int>, v array<double>").collect()
+    release(chosen)
+    return Classifier.fit([(np.array(r["at"], np.int64), np.array(r["v"], float), r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with n_tokens (words of the whole text) and posterior (array of a probability for each domain)."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_tokens", "posterior", "rate")
-    at = docs.columns.index("text")
+    docs = docs.drop("n_tokens", "posterior", "rate", "reached", "converged")
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,78 +114,97 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
                 [*batch.columns, pa.array([n for _, n in got], pa.int64()), pa.array([[float(x) for x in p] for p, _ in got], pa.list_(pa.float64()))], [*batch.schema.names, "n_tokens", "posterior"]
             )
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_tokens long, posterior array<double>")
+    return docs.mapInArrow(run, extended(docs, n_tokens="long", posterior="array<double>"))
 
 
-def rates(p: np.ndarray, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors p (n, K) after the given steps r <- max(0, y - p . move), and the points of
-    extrapolation y that follow, where the next gradient is taken: pure functions of a document's posterior."""
-    r = y = np.ones(len(p))
+def rates(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents with posteriors p (n, K) after the given steps r <- max(0, r - p . move): a pure function of a document's posterior."""
+    r = np.ones(len(p))
     for m in moves:
-        new = np.maximum(0.0, y - p @ m[1:])
-        r, y = new, new + m[0] * (new - r)
-    return r, y
+        r = np.maximum(0.0, r - p @ m)
+    return r
 
 
 def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(len(DOMAINS))], axis=1)
 
 
-def _sums(flat: DataFrame, moves: list[np.ndarray], ahead: bool) -> np.ndarray:
-    """Token totals of each domain at the rates (or at the points of extrapolation): one row from each partition, then their sum."""
+def _sums(flat: DataFrame, moves: list[np.ndarray], tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step in tries, taken after moves: the domains' token totals at the rates, and the token-weighted Gram matrix of
+    the posteriors of documents whose rate is over 0. One row from each partition, then their sum."""
+    k = len(DOMAINS)
+    width = len(tries) * (k + k * k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros((len(tries), k + k * k))
         for batch in batches:
-            p = _matrix(batch, 1)
-            total += (batch.column(0).to_numpy(zero_copy_only=False) * rates(p, moves)[ahead]) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(len(total))])
-
-    got = flat.mapInArrow(run, ", ".join(f"s{i} double" for i in range(len(DOMAINS)))).agg(*[F.sum(f"s{i}") for i in range(len(DOMAINS))]).first()
-    return np.array([x or 0.0 for x in got])
-
-
-def fit(flat: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
-    """Accelerated projected gradient for min over r >= 0 of sum over k (sum over d r_d t_d p_dk / T - target_k)^2 / 2.
-
-    T is the number of tokens, so rates of 1 keep everything. In the metric that weighs a document by its share of tokens
-    the gradient of a document's rate is p_d . residual, a step of 1 / (largest eigenvalue of the token-weighted Gram
-    matrix of posteriors) descends, and the whole state is the list of residuals: each round is one aggregation
-    of K sums, and nothing is kept for each document. Returns the steps and the totals that the rates reach.
+            p, t = _matrix(batch, 1), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            before = rates(p, moves)
+            for i, m in enumerate(tries):
+                r = np.maximum(0.0, before - p @ m)
+                total[i, :k] += (t * r) @ p
+                total[i, k:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+    got = flat.mapInArrow(run, "s array<double>").agg(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).first()
+    got = np.array([x or 0.0 for x in got]).reshape(len(tries), -1)
+    return [(g[:k], g[k:].reshape(k, k)) for g in got]
+
+
+#: Lengths of step that a round tries at once.
+STEPS = (1.0, 0.5, 0.2, 0.05, 0.02)
+#: Domain totals (shares of all tokens) this near to their targets end the fit.
+TOLERANCE = 5e-3
+
+
+def fit(flat: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 200, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
+    """Projected gradient for min over r >= 0 of sum over k w_k (sum over d r_d t_d p_dk / T - target_k)^2 / 2.
+
+    T is the number of tokens, so rates of 1 keep everything; w_k = 1 / (target_k + 0.1), so that small targets count too. In the metric that weighs a document by its share of tokens
+    the gradient of a document's rate is p_d . (w residual). Steps go along it in the metric of the token-weighted Gram matrix of
+    the documents whose rate is over 0 (which takes out the posteriors' correlation), in several lengths, and along the plain
+    gradient; the best is taken. The state is the list of steps, so a round is one aggregation of a few sums and nothing is
+    kept for each document. It ends when all totals are within the tolerance of their targets, or no step comes nearer.
+    Returns the steps and the totals that the rates reach.
     """
     k = len(DOMAINS)
-    p = [F.col(f"p{i}") for i in range(k)]
-    first = flat.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
-    total = float(first[0] or 0)
+    total = float(flat.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return [], np.zeros(k)
-    gram = np.array(first[1:], float).reshape(k, k) / total
-    step, goal = 1 / np.linalg.eigvalsh(gram)[-1], np.array(targets)
-    moves: list[np.ndarray] = []
-    last, t = None, 1.0
+    goal, moves = np.array(targets), []
+    (at, gram), *_ = _sums(flat, [], [np.zeros(k)])
+    whole, w = np.linalg.eigvalsh(gram / total)[-1], 1 / (goal + 0.1)
     for _ in range(rounds):
-        at = _sums(flat, moves, True) / total
-        nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        moves.append(np.concatenate([[(t - 1) / nxt], step * (at - goal)]))
-        t = nxt
-        if np.abs(at - goal).max() < tolerance or last is not None and np.abs(at - last).max() < tolerance / 10:
+        off = at / total - goal
+        if np.abs(off).max() < tolerance:
+            break
+        along = np.linalg.solve(gram / total + 1e-9 * max(whole, 1e-9) * np.eye(k), off)
+        tries = [s * along for s in STEPS] + [w * off / (whole * w.max())]
+        sums = _sums(flat, moves, tries)
+        best = min(range(len(tries)), key=lambda i: float((w * (sums[i][0] / total - goal) ** 2).sum()))
+        if (w * (sums[best][0] / total - goal) ** 2).sum() >= (w * off * off).sum() * (1 - 1e-9):
             break
-        last = at
-    return moves, _sums(flat, moves, False) / total
+        moves.append(tries[best])
+        at, gram = sums[best]
+    return moves, at / total
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """docs with n_tokens, posterior and rate: the nonnegative factor by which to draw each document.
+    """docs with n_tokens, posterior, rate (the nonnegative factor by which to draw each document), and, the same in every row,
+    reached (the domains' expected shares at the rates) and converged (all within TOLERANCE of the targets).
 
-    Every row stays, also at rate 0. Null and empty texts have 0 tokens, the labelled shares as posterior, and a rate like any other.
+    Every row stays, also at rate 0; rows that repeat an id are rows like any other, and equal texts get equal rates. Null and
+    empty texts have 0 tokens, the labelled shares as posterior, and a rate like any other. Very long texts count whole. Columns
+    of docs that clash with the new ones are replaced; an empty table gives an empty table.
     """
     scored = save(score(docs, train(docs, labels)), "scored")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     flat = save(scored.select("n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(len(DOMAINS))]), "posteriors")
-    moves, _ = fit(flat, targets)
+    moves, reached = fit(flat, targets)
+    release(flat)
 
     @F.pandas_udf("double")
     def rate(*p: pd.Series) -> pd.Series:
-        return pd.Series(rates(np.stack([x.to_numpy() for x in p], axis=1), moves)[0])
+        return pd.Series(rates(np.stack([x.to_numpy() for x in p], axis=1), moves))
 
-    return scored.withColumn("rate", rate(*[F.get("posterior", F.lit(i)) for i in range(len(DOMAINS))]))
+    near = bool(np.abs(reached - np.array(targets)).max() <= TOLERANCE)
+    return scored.withColumn("rate", rate(*[F.get("posterior", F.lit(i)) for i in range(len(DOMAINS))])).withColumn("reached", F.array(*[F.lit(float(x)) for x in reached])).withColumn("converged", F.lit(near))

@@ -14,7 +14,7 @@ from .common import table
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
-    return out.select("doc_id", "n_tokens", *shares, "rate")
+    return out.select("doc_id", "n_tokens", *shares, "rate", "reached", "converged")
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
