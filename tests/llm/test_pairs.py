@@ -113,7 +113,6 @@ def test_html():
     assert html.main_text("") == html.main_text(None) == html.main_text("<p>") == ""
     assert html.main_text("plain < text &am") == "plain < text &am"
     assert html.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
-    assert html.host("https://u@M.Example.org:80/x?y") == "m.example.org" and html.host(None) == ""
 
 
 def test_style_tree_removes_repeated_branches(spark):
