@@ -90,6 +90,35 @@ def test_learned_front(spark, data, tmp_path):
     assert transforms.is_orthonormal(a, 1e-6)
 
 
+def test_product_lists(spark, data, tmp_path):
+    v, q = data
+    truth = S.exact(v, q, 10).cache()
+    index = E.build(v, "PQIVF", 32, 4, nlist=4, rounds=2, parts=8)
+    index.save(f"{tmp_path}/pq")
+    for x in (index, E.load(spark, f"{tmp_path}/pq", "PQIVF")):
+        assert S.recall(x.search(q, 10, 4), truth, 10).first()["recall"] > 0.85
+    assert S.recall(index.search(q, 10, 4, refine=0), truth, 10).first()["recall"] > 0.3
+    with pytest.raises(ValueError, match="divide"):
+        E.build(v, "PQIVF", 32, parts=5)
+
+
+def test_layout_and_cache(spark, data):
+    v, _ = data
+    edges = spark.createDataFrame([(a, b, 1.0) for g in (0, 10) for a in range(g, g + 6) for b in range(g, g + 6) if a != b], "src long, dst long, weight double")
+    pos = {r["id"]: np.array(r["pos"]) for r in graph.layout(edges, rounds=200).collect()}
+    near = np.mean([np.linalg.norm(pos[a] - pos[b]) for g in (0, 10) for a in range(g, g + 6) for b in range(g, g + 6)])
+    far = np.mean([np.linalg.norm(pos[a] - pos[b]) for a in range(6) for b in range(10, 16)])
+    assert near < far and graph.layout(edges.limit(0)).count() == 0
+    codec = polar.Polar(32, 8, 8)
+    keys = v.where("vec_id < 40")
+    codes = polar.compress(keys, codec)
+    values = keys.select("vec_id", F.array(F.col("vec_id").cast("double")).alias("value"))
+    q = spark.createDataFrame([(0, [0.3] * 32)], "qid long, qv array<double>")
+    exact = graph.attention(keys.join(values, "vec_id").select(F.col("vec_id").alias("pos"), F.col("x").alias("key"), "value"), q, 32).first()["value"][0]
+    assert abs(graph.compressed_attention(codes, values, q, codec).first()["value"][0] - exact) < 0.5
+    assert tuple(graph.cache_bytes(codes, codec).first()) == (40, 40 * 32, 40 * 128)
+
+
 def test_command_line(spark, data, tmp_path, capsys):
     from vecforge import cli
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import models as M
 from . import store
 
-KINDS = ("RawFlat", "SQ8Flat", "SignFlat", "BookFlat", "RawIVF", "SignIVF", "BookIVF")
+KINDS = ("RawFlat", "SQ8Flat", "SignFlat", "BookFlat", "RawIVF", "SignIVF", "BookIVF", "PQIVF")
 METRICS = ("l2", "ip")
 #: Rows in a block of the index and of queries.
 ROWS, QUERIES = 4096, 512
@@ -42,7 +42,8 @@ def unpack_bits(packed: np.ndarray, bits: int, d: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Models:
     """What a quantiser has learned: centroids (one row: the mean, for flat sign codes), 8-bit ranges of each, rotation and
-    codebook, and a linear transform that all vectors and queries go through before."""
+    codebook, a linear transform that all vectors and queries go through before, and a product quantiser's centroids (parts, k,
+    d / parts) for what a vector differs from its list's centroid."""
 
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
     lo: np.ndarray | None = None
@@ -51,6 +52,7 @@ class Models:
     cents: np.ndarray | None = None
     bounds: np.ndarray | None = None
     before: np.ndarray | None = None
+    books: np.ndarray | None = None
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         n = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -67,6 +69,9 @@ def encode(kind: str, bits: int, models: Models, x: np.ndarray, cluster: np.ndar
         code = [c.tobytes() for c in np.packbits(r > 0, axis=1)]
     elif kind.startswith("Book"):
         code = [c.tobytes() for c in pack_bits(np.searchsorted(models.bounds, models.rotated(x), side="left"), bits)]
+    elif kind.startswith("PQ"):
+        own, w = x - models.centroids[cluster], models.books.shape[2]
+        code = [c.tobytes() for c in np.stack([nearest(own[:, p * w : (p + 1) * w], b) for p, b in enumerate(models.books)], axis=1).astype(np.uint8)]
     elif kind.startswith("Raw"):
         code = [v.tobytes() for v in np.ascontiguousarray(x, "<f8")]
     else:
@@ -175,7 +180,10 @@ class Index:
         kind, d, bits, m, metric = self.kind, self.d, self.bits, self.models, self.metric
         sign = -1.0 if metric == "ip" else 1.0
 
-        def decoded(code: bytes, n: int) -> np.ndarray:
+        def decoded(code: bytes, n: int, c: int) -> np.ndarray:
+            if kind.startswith("PQ"):
+                at = np.frombuffer(code, np.uint8).reshape(n, -1)
+                return m.centroids[c] + np.concatenate([b[at[:, p]] for p, b in enumerate(m.books)], axis=1)
             if kind.startswith("Raw"):
                 return np.frombuffer(code, "<f8").reshape(n, d)
             p = len(m.rotation)
@@ -201,7 +209,7 @@ class Index:
                 # the inner product follows from the distance and both norms
                 dist = -0.5 * (dist - (q * q).sum(axis=1)[:, None] - o2[None]) if metric == "ip" else np.maximum(dist, 0)
             else:
-                x = restored(row.sq8, n, c) if kind.startswith("SQ8") else decoded(row.code, n)
+                x = restored(row.sq8, n, c) if kind.startswith("SQ8") else decoded(row.code, n, c)
                 z = m.rotated(q) if kind.startswith("Book") else q
                 dist = z @ x.T
                 if metric == "l2":
@@ -330,7 +338,7 @@ class Index:
         spark = self.rows.sparkSession
         rows = self.live()
         meta = store.IndexMeta(self.kind, self.d, rows.count(), 1 if self.kind.startswith("Sign") else self.bits, self.models.lo is not None, self.metric, len(self.models.centroids) if self.kind.endswith("IVF") else 0)
-        arrays = {n: getattr(self.models, n) for n in ("centroids", "lo", "hi", "rotation", "cents", "bounds", "before")}
+        arrays = {n: getattr(self.models, n) for n in ("centroids", "lo", "hi", "rotation", "cents", "bounds", "before", "books")}
         data = [(n, [float(v) for v in a.ravel()], list(a.shape)) for n, a in arrays.items() if a is not None]
         store.save_index(spark, path, rows, meta, {"models": spark.createDataFrame(data, "name string, v array<double>, shape array<int>").coalesce(1)})
 
@@ -342,9 +350,12 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
     return Index(meta.index_type, meta.d, rows.select(*[c.split()[0] for c in _ROW.split(", ")]), models, meta.nbits if meta.index_type.startswith("Book") else 4, meta.metric)
 
 
-def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True, nlist: int = 16, rounds: int = 20, metric: str = "l2", seed: int = 42, centroids: np.ndarray | None = None, before: np.ndarray | None = None) -> Index:
+def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True, nlist: int = 16, rounds: int = 20, metric: str = "l2", seed: int = 42, centroids: np.ndarray | None = None, before: np.ndarray | None = None, parts: int = 8) -> Index:
     """Trains what the kind needs on vectors (vec_id, x) and encodes them. centroids: lists that are trained already (of transformed
-    vectors); before: a d x d matrix that vectors and queries are multiplied by first, as a learned rotation."""
+    vectors); before: a d x d matrix that vectors and queries are multiplied by first, as a learned
+    rotation; parts: of a product quantiser, each with 2 ** bits centroids (at most 256)."""
+    if kind == "PQIVF" and (d % parts or not 1 <= bits <= 8):
+        raise ValueError("parts divide d, and their codes have at most 8 bits")
     if kind not in KINDS or metric not in METRICS:
         raise ValueError(f"kind is one of {KINDS}, metric of {METRICS}")
     vectors = transformed(vectors, before, "vec_id", "x")
@@ -363,9 +374,28 @@ def build(vectors: DataFrame, kind: str, d: int, bits: int = 4, sq8: bool = True
         rotation = M.rotation(d)
         cents, bounds = M.codebook(bits, len(rotation))
         models = replace(models, rotation=rotation, cents=cents, bounds=bounds)
+    if kind == "PQIVF":
+        models = replace(models, books=_product(vectors, models.centroids, d, parts, 1 << bits, rounds, seed))
     return Index(kind, d, encoded(vectors, kind, bits, models), models, bits, metric)
 
 
+def _product(vectors: DataFrame, centroids: np.ndarray, d: int, parts: int, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Centroids of each part of the vectors' differences from their lists' centroids; with fewer rows than k the last is repeated."""
+    w, books = d // parts, []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = _matrix(b["x"])
+                yield pd.DataFrame({"vec_id": b["vec_id"], "x": list(x - centroids[nearest(x, centroids)])})
+
+    own = vectors.select("vec_id", "x").mapInPandas(run, "vec_id long, x array<double>")
+    for p in range(parts):
+        ms = np.array(M.kmeans(own.select("vec_id", F.slice("x", 1 + p * w, w).alias("x")), k, rounds, seed).first()["ms"]).reshape(-1, w)
+        books.append(np.concatenate([ms, np.repeat(ms[-1:], k - len(ms), axis=0)]) if len(ms) else np.zeros((k, w)))
+    return np.stack(books)
+
+
 def build_opq(vectors: DataFrame, d: int, parts: int = 8, k: int = 16, turns: int = 3, **options) -> Index:
     """Inverted lists of sign codes behind a learned rotation (product quantiser's) and the randomised Hadamard rotation; d is a power of two."""
     from . import transforms

@@ -66,3 +66,50 @@ def select_tokens(scores: DataFrame, capacity: int, window: int, kernel: int = 5
     old = s.where("not recent").withColumn("pooled", F.sum("score").over(by.orderBy("pos").rowsBetween(-(kernel // 2), kernel // 2)) / kernel)
     best = old.withColumn("r", F.row_number().over(by.orderBy(F.desc("pooled"), "pos"))).where(F.col("r") <= capacity - window)
     return best.select("key", "pos").unionAll(s.where("recent").select("key", "pos"))
+
+
+#: Nodes that a layout holds on the driver at most; a larger graph is refused.
+MOST_NODES = 200_000
+
+
+def layout(edges: DataFrame, dims: int = 2, rounds: int = 100, rate: float = 1.0, negatives: int = 5, seed: int = 42) -> DataFrame:
+    """(id, pos): positions from weighted edges (src, dst, weight) by gradient steps: linked nodes attract, random ones repel.
+
+    The graph has a node for each vector that was asked for, and is laid out on the driver; more than MOST_NODES fail.
+    """
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    if (n := ids.count()) > MOST_NODES:
+        raise ValueError(f"{n} nodes; a layout holds {MOST_NODES}")
+    names = np.sort(ids.toArrow()["id"].to_numpy()) if n else np.empty(0, np.int64)
+    e = edges.select("src", "dst", "weight").toArrow()
+    a, b, w = np.searchsorted(names, e["src"].to_numpy()), np.searchsorted(names, e["dst"].to_numpy()), e["weight"].to_numpy()
+    r = np.random.default_rng(seed)
+    pos = r.uniform(-10, 10, (n, dims))
+    for turn in range(rounds):
+        lr = rate * (1 - turn / rounds)
+        use = r.random(len(w)) < w / max(w.max(initial=0), 1e-12)
+        i, j = a[use], b[use]
+        apart = pos[i] - pos[j]
+        d2 = (apart * apart).sum(axis=1, keepdims=True)
+        pull = np.clip(-2 * apart / (1 + d2), -4, 4)
+        push_to = r.integers(0, max(n, 1), (len(i), negatives))
+        away = pos[i][:, None] - pos[push_to]
+        far = (away * away).sum(axis=2, keepdims=True)
+        push = np.clip(2 * away / ((0.001 + far) * (1 + far)), -4, 4).sum(axis=1)
+        np.add.at(pos, i, lr * (pull + push))
+        np.add.at(pos, j, -lr * pull)
+    return edges.sparkSession.createDataFrame([(int(k), [float(v) for v in p]) for k, p in zip(names, pos, strict=True)], "id long, pos array<double>")
+
+
+def compressed_attention(codes: DataFrame, values: DataFrame, queries: DataFrame, codec) -> DataFrame:
+    """attention() over keys that are kept as polar codes: codes (vec_id, radius_idx, angle_indices, original_norm), values (vec_id, value)."""
+    from . import polar
+
+    keys = polar.decompress(codes, codec).select("vec_id", F.col("x").alias("key"))
+    return attention(keys.join(values, "vec_id").select(F.col("vec_id").alias("pos"), "key", "value"), queries, codec.d)
+
+
+def cache_bytes(codes: DataFrame, codec) -> DataFrame:
+    """One row: entries, bytes of the codes, bytes of the same keys in single precision."""
+    bits = codec.rb + (codec.d - 1) * codec.ab
+    return codes.agg(F.count("*").alias("entries"), (F.count("*") * ((bits + 7) // 8)).alias("code_bytes"), (F.count("*") * 4 * codec.d).alias("raw_bytes"))

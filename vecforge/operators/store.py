@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = ("RawFlat", "SQ8Flat", "BookFlat", "SignFlat", "RawIVF", "SignIVF", "BookIVF")
+KINDS = ("RawFlat", "SQ8Flat", "BookFlat", "SignFlat", "RawIVF", "SignIVF", "BookIVF", "PQIVF")
 
 
 @dataclass
