@@ -350,7 +350,17 @@ def hadamard_single(spark, sf):
     return M.hadamard(vectors(spark, sf)).select("vec_id", F.posexplode("y").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({b}, {i}, {round(float(c), 6)!r}::DOUBLE)" for b in (1, 2, 3, 4) for i, c in enumerate(M.codebook(b, D)[0])) + ") t(nbits, cell, centroid)")
+#: The Lloyd-Max rounds themselves, over prefix sums of the density on the same grid.
+_LLOYD = """WITH RECURSIVE g AS (SELECT j, -1 + 2 * (j + 0.5) / 32768 AS x, pow(1 - x * x, 30.5) AS w FROM range(32768) t(j)),
+cum AS (SELECT list_prepend(0.0::DOUBLE, list(cw ORDER BY j)) AS cw, list_prepend(0.0::DOUBLE, list(cx ORDER BY j)) AS cx FROM (SELECT j, sum(w) OVER (ORDER BY j) AS cw, sum(w * x) OVER (ORDER BY j) AS cx FROM g)),
+cuts AS (SELECT b AS nbits, list_transform(range(0, (1 << b) + 1), lambda i: CASE WHEN i = 0 THEN 0 WHEN i = 1 << b THEN 32768 ELSE len(list_filter(cw, lambda v: v < cw[32769] * i / (1 << b) * (1 - 1e-12))) END) AS ct FROM cum, range(1, 5) t(b)),
+it AS (SELECT CAST(nbits AS INTEGER) AS nbits, 0 AS n, list_transform(range(1, (1 << nbits) + 1), lambda i: (cx[ct[i + 1] + 1] - cx[ct[i] + 1]) / (cw[ct[i + 1] + 1] - cw[ct[i] + 1])) AS c FROM cuts, cum
+UNION ALL SELECT nbits, n + 1, list_transform(e, lambda q: greatest(q.lo, least(q.hi, (cx[q.h + 1] - cx[q.l + 1]) / (cw[q.h + 1] - cw[q.l + 1])))) FROM (
+SELECT nbits, n, list_transform(range(1, len(c) + 1), lambda i: {'lo': CASE WHEN i = 1 THEN -1.0 ELSE (c[i - 1] + c[i]) / 2 END, 'hi': CASE WHEN i = len(c) THEN 1.0 ELSE (c[i] + c[i + 1]) / 2 END, 'l': CASE WHEN i = 1 THEN 0 ELSE CAST(ceil(((c[i - 1] + c[i]) / 2 + 1) * 16384 - 0.5) AS BIGINT) END, 'h': CASE WHEN i = len(c) THEN 32768 ELSE CAST(ceil(((c[i] + c[i + 1]) / 2 + 1) * 16384 - 0.5) AS BIGINT) END}) AS e FROM it WHERE n < 100) s, cum)
+SELECT nbits, CAST(i - 1 AS INTEGER) AS cell, round(c[i]::FLOAT::DOUBLE, 6) AS centroid FROM it, range(1, 17) t(i) WHERE n = 100 AND i <= len(c)"""
+
+
+@query(_LLOYD)
 def lloydmax_codebook(spark, sf):
     rows = [(b, i, round(float(c), 6)) for b in (1, 2, 3, 4) for i, c in enumerate(M.codebook(b, D)[0])]
     return spark.createDataFrame(rows, "nbits int, cell int, centroid double")
