@@ -208,6 +208,13 @@ def test_scalar_ranges(data):
     assert mse[2] > mse[4] > mse[6]
     for f in (quantize.range_meanstd, quantize.range_quantiles):
         assert f(e)[1] > 0
+    every = sorted(r[0] for r in e.collect())
+    old, quantize.MOST_SORTED = quantize.MOST_SORTED, 50
+    try:
+        assert [quantize.nth(e, r, len(every)) for r in (0, 7, 9000, len(every) - 1)] == [every[r] for r in (0, 7, 9000, len(every) - 1)]
+        assert quantize.nth(e.select(F.lit(2.0).alias("e")), 11, len(every)) == 2.0
+    finally:
+        quantize.MOST_SORTED = old
     assert quantize.range_optimum(e, 16, rounds=4)[1] > 0
     assert quantize.bf16(np.float32(1.00390625))[()] == 1.0 and quantize.fp16([0.1])[0] == pytest.approx(0.1, abs=1e-4)
     q = v.select(quantize.query_quantize(F.col("x"), 4).alias("q")).first()[0]

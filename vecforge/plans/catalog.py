@@ -591,16 +591,6 @@ def point_lookup(spark, sf):
     return store.lookup(spark.read.parquet(f"{sf}/embeddings.parquet"), [1, 5, 7, 42]).select("vec_id", "label")
 
 
-def _versions(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label")
-    return e.withColumn("seq", F.lit(0)).unionAll(e.where("vec_id % 10 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("seq")))
-
-
-@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END AS seq FROM embeddings")
-def upsert_latest(spark, sf):
-    return store.latest(_versions(spark, sf))
-
-
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 10 <> 1")
 def delete_antijoin(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label")
@@ -616,6 +606,16 @@ _HEX = "list_transform(range(0, 16), lambda i: substr('0123456789ABCDEF', CAST(1
 _BOOK_HEX = "list_transform(tq, lambda t: substr('0123456789ABCDEF', CAST(t + 1 AS BIGINT), 1))"
 
 
+@query(f"WITH {BASE}, {MEAN}, vc AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(x, lambda e: -e) ELSE x END AS x, c FROM v, mean), {SIGNS.format(src='vc')} SELECT vec_id, array_to_string({_HEX}, '') AS code, CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END AS seq FROM s")
+def upsert_latest(spark, sf):
+    """Codes appended as versions: the last of each id counts."""
+    v = vectors(spark, sf)
+    index = E.build(v, "SignFlat", D, sq8=False)
+    new = E.encoded(v.where("vec_id % 10 = 0").withColumn("x", F.transform("x", lambda e: -e)), "SignFlat", 1, index.models)
+    both = index.rows.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
+    return store.latest(both).select("vec_id", F.hex("code").alias("code"), "seq")
+
+
 @query(f"WITH {BASE}, {FLAT_SIGNS}, {_rot_sql()}, {ROTZ}, {_tq(4)} SELECT v.vec_id, CASE WHEN v.vec_id % 2 = 0 THEN array_to_string({_HEX}, '') WHEN v.vec_id % 3 = 0 THEN array_to_string({_BOOK_HEX}, '') END AS code FROM v JOIN s USING (vec_id) JOIN t USING (vec_id)")
 def code_fallback(spark, sf):
     """The code of each id from the index of sign codes (even ids), else from that of codebook codes (multiples of 3)."""
@@ -650,9 +650,12 @@ def tq4_packed(spark, sf):
     return E.build(vectors(spark, sf), "BookFlat", D, sq8=False).rows.select("vec_id", F.hex("code").alias("code"))
 
 
-@query("SELECT label AS cluster_id, CAST(sum(1) AS BIGINT) AS count, CAST(sum(vec_id) AS BIGINT) AS start FROM embeddings GROUP BY label")
+@query(f"WITH {BASE}, {_kmeans()} SELECT cluster_id, count(*) AS count, CAST(sum(vec_id % 4) AS BIGINT) AS start FROM al GROUP BY cluster_id")
 def merge_counts(spark, sf):
-    return store.merged_counts(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").alias("cluster_id"), F.lit(1).alias("count"), F.col("vec_id").alias("start")))
+    """Deltas of four batches of assigned vectors, merged: sizes, and batch numbers times sizes."""
+    lists, _, _ = _lists(spark, sf)
+    deltas = lists.groupBy("cluster_id", (F.col("vec_id") % 4).alias("batch")).agg(F.count("*").alias("count")).select("cluster_id", "count", (F.col("batch") * F.col("count")).alias("start"))
+    return store.merged_counts(deltas)
 
 
 @query(f"WITH {BASE}, {_kmeans()}, n AS (SELECT cluster_id, count(*) AS size FROM al GROUP BY ALL), o AS (SELECT cluster_id, size, coalesce(sum(size) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM n) SELECT vec_id AS id, cluster_id FROM v JOIN o ON vec_id >= lo AND vec_id < lo + size")
