@@ -1,6 +1,6 @@
 """Indexes with packed codes: build, search, insert, delete, save and load, for flat and inverted-list forms of all quantisers.
 
-Rows of an index are (vec_id, cluster_id, code BINARY, n2, l1, o2 DOUBLE, sq8 BINARY); its models are small arrays whose size
+Raw kinds keep vectors in single precision, as they come. Rows of an index are (vec_id, cluster_id, code BINARY, n2, l1, o2 DOUBLE, sq8 BINARY); its models are small arrays whose size
 depends on parameters alone. A search packs rows and queries into blocks and scores each pair of blocks by one matrix product:
 a pair of blocks is a row of a join, so neither side is ever held whole, and the window that ranks sees a few candidates a block.
 """
@@ -73,7 +73,7 @@ def encode(kind: str, bits: int, models: Models, x: np.ndarray, cluster: np.ndar
         own, w = x - models.centroids[cluster], models.books.shape[2]
         code = [c.tobytes() for c in np.stack([nearest(own[:, p * w : (p + 1) * w], b) for p, b in enumerate(models.books)], axis=1).astype(np.uint8)]
     elif kind.startswith("Raw"):
-        code = [v.tobytes() for v in np.ascontiguousarray(x, "<f8")]
+        code = [v.tobytes() for v in np.ascontiguousarray(x, "<f4")]
     else:
         code = [None] * len(x)
     sq8 = [None] * len(x)
@@ -185,7 +185,7 @@ class Index:
                 at = np.frombuffer(code, np.uint8).reshape(n, -1)
                 return m.centroids[c] + np.concatenate([b[at[:, p]] for p, b in enumerate(m.books)], axis=1)
             if kind.startswith("Raw"):
-                return np.frombuffer(code, "<f8").reshape(n, d)
+                return np.frombuffer(code, "<f4").reshape(n, d).astype(np.float64)
             p = len(m.rotation)
             return m.cents[unpack_bits(np.frombuffer(code, np.uint8).reshape(n, -1), bits, p)]
 
