@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     within a component nothing is left to find, so no group is expanded into all its pairs and no link between
     components is lost. Turns end as soon as comparing across components costs about as much as a turn. A null or empty text has no shingles and
     links with nothing; a null doc_id has a null component and
-    is kept; rows that repeat a doc_id are placed each by its own text.
+    is kept; rows that repeat a doc_id are placed each by its own text. Very long texts are sets like any other; of tied
+    groups the smallest doc_id leads; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -96,9 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(chosen, 16), F.col("doc_id") == F.col("_lab"))
     own = own.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = own.mapInArrow(_featured, "doc_id long, y int, at array<int>, v array<double>").collect()
+    got = own.mapInArrow(_featured, "doc_id long, y int, at array<int>, v array<double>").toArrow().sort_by("doc_id")
     release(chosen)
-    return Classifier.fit([(np.array(r["at"], np.int64), np.array(r["v"], float), r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    at, v, y = got["at"].combine_chunks(), got["v"].combine_chunks(), got["y"].to_pylist()
+    cuts, words, weights = at.offsets.to_numpy().tolist(), at.values.to_numpy().astype(np.int64), v.values.to_numpy()
+    return Classifier.fit([(words[i:j], weights[i:j], k) for i, j, k in zip(cuts[:-1], cuts[1:], y, strict=True)])
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
