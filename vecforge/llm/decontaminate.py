@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, release, save, sized, small_batches
 from .words import mix
 
 Q, EDITS, SEGMENT, STRIDE = 8, 0.1, 100, 50
@@ -44,16 +44,17 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def segments(items: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]]:
-    """Items of up to 1.5 SEGMENT normalised characters as they are, longer ones in overlapping segments, so that a passage cut from an item is found too.
-    Items too short for the lemma's bound to say anything (under 2 Q characters) are compared as they are, without edits."""
+    """Overlapping windows of SEGMENT normalised characters of each item, so that a passage cut from an item is found too; an
+    item that is shorter is its own only window. Windows of fewer than Q characters are whole words: they begin and end with a space."""
     out = []
     for item, text in items:
         c = normal(text)
-        if len(c) <= SEGMENT * 3 // 2:
-            out += [(item, c)] if len(c) >= Q else []
-        else:
-            starts = [*range(0, len(c) - SEGMENT, STRIDE), len(c) - SEGMENT]
-            out += [(item, c[s : s + SEGMENT]) for s in starts]
+        if not len(c):
+            continue
+        if len(c) < Q:
+            c = np.concatenate([[32], c, [32]]).astype(np.uint32)
+        starts = [*range(0, len(c) - SEGMENT, STRIDE), len(c) - SEGMENT] if len(c) > SEGMENT else [0]
+        out += [(item, c[s : s + SEGMENT]) for s in starts]
     return out
 
 
@@ -67,7 +68,9 @@ def _budget(m: int) -> int:
 
 class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.segments = segments(items)
+        every = segments(items)
+        self.segments = [x for x in every if len(x[1]) >= Q]
+        self.short = [(item, c.astype("<u4").tobytes()) for item, c in every if len(c) < Q]
         grams = [_grams(c, Q) for _, c in self.segments]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -97,8 +100,12 @@ class Index:
         later: list[tuple[int, int, np.ndarray]] = []
         for i, text in enumerate(texts):
             items: set[int] = set()
+            codes = normal(text)
+            if self.short and len(codes):
+                raw = np.concatenate([[32], codes, [32]]).astype("<u4").tobytes()
+                found[i].update(item for item, c in self.short if _holds(raw, c))
             # the fullest band of an item first: the others only matter if that one fails
-            for _, sg, region in sorted(self._candidates(normal(text)), key=lambda x: -x[0]):
+            for _, sg, region in sorted(self._candidates(codes), key=lambda x: -x[0]):
                 (later if self.segments[sg][0] in items else first).append((i, sg, region))
                 items.add(self.segments[sg][0])
             if len(later) >= 4096 or i == len(texts) - 1:
@@ -163,6 +170,14 @@ class Index:
                 yield c / m, sg, codes[start:end]
 
 
+def _holds(raw: bytes, part: bytes) -> bool:
+    """Whether part occurs in raw at a whole code point."""
+    at = raw.find(part)
+    while at >= 0 and at % 4:
+        at = raw.find(part, at + 1)
+    return at >= 0
+
+
 def align(patterns: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     """For each pattern the least edits between it and any substring of its region, which is as long as the pattern and its
     band: rows of all tables are filled together."""
@@ -190,33 +205,44 @@ def align(patterns: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with item_ids, the sorted benchmark items of which each row's text holds a segment within the edit budget (empty: clean).
+    """docs with item_ids, the sorted benchmark items of which each row's text holds a window within the edit budget (empty: clean).
 
-    docs holds text and any other columns; benchmark holds item_id and text. Null or empty texts and items match nothing.
-    The benchmark is read in blocks of BLOCK_CHARS characters; the documents are scanned once for each block.
+    docs holds text and any other columns (one named item_ids is replaced); benchmark holds item_id and text. Null or empty texts and items match nothing;
+    very long texts are searched whole; equal texts, also in rows that repeat an id, have equal items, and items that repeat an id are one; an empty table gives
+    an empty table. The benchmark is taken in blocks of about BLOCK_CHARS characters one after the other, so neither the driver nor a
+    worker holds more of it; the documents are scanned once for each block, and only hashes of the texts with hits are kept.
     """
     small_batches(docs.sparkSession)
-    sizes = benchmark.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    blocks = 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // BLOCK_CHARS
-    out = docs.drop("item_ids")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    blocks = 1 + (bench.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    docs = docs.drop("item_ids")
+    text = F.col("text").cast("string")
+    hashes = [F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2")]
+    own = docs.select(*hashes, text.alias("text")).where("text is not null")
+    hits = []
     for i in range(blocks):
-        items = [(r[0], r[1]) for r in benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
-        out = _one(out, items, i)
-    return out.withColumn("item_ids", F.array_sort(F.array_distinct(F.concat(*[f"_items{i}" for i in range(blocks)])))).drop(*[f"_items{i}" for i in range(blocks)])
-
+        items = [(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+        hits.append(save(own.mapInArrow(_searcher(items), "_h1 long, _h2 long, item long").distinct(), "hits"))
+    h1, h2 = fresh(docs, "_h1", "_h2")
+    found = save(reduce(DataFrame.union, hits).groupBy(F.col("_h1").alias(h1), F.col("_h2").alias(h2)).agg(F.array_sort(F.collect_set("item")).alias("item_ids")), "found")
+    release(*hits)
+    none = F.from_json(F.lit("[]"), "array<bigint>")
+    out = docs.join(sized(found, 128), (F.xxhash64(text) == F.col(h1)) & (F.xxhash64(text, F.lit(1)) == F.col(h2)), "left")
+    return out.withColumn("item_ids", F.coalesce(F.col("item_ids"), none)).drop(h1, h2)
 
-def _one(docs: DataFrame, items: list[tuple[int, str | None]], i: int) -> DataFrame:
-    at = docs.columns.index("text")
 
+def _searcher(items: list[tuple[int, str | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
         for batch in batches:
-            found = index.search(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, f"_items{i}"])
+            found = index.search(batch.column(2).to_pylist())
+            n = [len(x) for x in found]
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([i for x in found for i in x], pa.int64())], ["_h1", "_h2", "item"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _items{i} array<long>")
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs that hold no benchmark passage."""
-    return match(docs, benchmark).where("size(item_ids) = 0").drop("item_ids")
+    """Rows of docs that hold no benchmark passage, with their columns."""
+    return match(docs, benchmark).where("size(item_ids) = 0").select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != "item_ids"])
