@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import extended, save, sized, small_batches
 
 UNKNOWN = "und"
 HIDDEN, WINDOW = 8, 64
@@ -163,31 +163,31 @@ _LETTER = np.zeros(256, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def train(docs: DataFrame, per_label: int = 400, pieces: int = 4, steps: int = 260, max_labels: int = 64) -> BiGRU | None:
-    """Fits the network on a bounded sample of docs (text, lang): about per_label documents of each of the max_labels most frequent
-    languages, chosen by a hash of the text, and `pieces` windows spread over each. None if no row has a text and a lang."""
+def train(docs: DataFrame, per_label: int = 400, pieces: int = 4, steps: int = 260) -> BiGRU | None:
+    """Fits the network on a bounded sample of docs (text, lang): per_label different texts of each language (those of the
+    least hash), and `pieces` windows spread over each. Every language of a row with letters is learned. None if no row has a text with letters and a lang."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and text rlike '[^\\\\x00-\\\\x40]'")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    if not sizes:
-        return None
-    labels = sorted(r["lang"] for r in sizes)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_label / r["count"])).otherwise(share)
-    h = F.xxhash64("text", F.lit(5))
-    chosen = rows.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < share)
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
+    sizes = save(rows.select("lang", "h").distinct().groupBy("lang").count(), "langs")
+    # about twice as many as wanted pass this, whatever the number of copies; then the least hashes are taken
+    share = (2.0 * per_label + 40) / F.col("count")
     cut = [F.substring("text", F.greatest(F.lit(1), (F.length("text") * F.lit(j / pieces)).cast("int")), F.lit(WINDOW)).alias(f"p{j}") for j in range(pieces)]
-    got = chosen.select("lang", *cut).limit(2 * per_label * len(labels)).collect()
-    pairs = sorted({(p.encode("utf-8", "surrogatepass")[:WINDOW], labels.index(r["lang"])) for r in got for p in r[1:] if p and any(map(str.isalpha, p))})
-    model = BiGRU(labels)
-    return model.fit([w for w, _ in pairs], np.array([k for _, k in pairs]), steps) if pairs else None
+    chosen = rows.join(sized(sizes, 64), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30) < share).select("lang", "h", *cut).distinct()
+    w = Window.partitionBy("lang").orderBy("h", *[f"p{j}" for j in range(pieces)])
+    got = chosen.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).drop("_n", "h").collect()
+    labels = sorted({r["lang"] for r in got})
+    at = {k: i for i, k in enumerate(labels)}
+    pairs = sorted({(p.encode("utf-8", "surrogatepass")[:WINDOW], at[r["lang"]]) for r in got for p in r[1:] if p and any(map(str.isalpha, p))})
+    return BiGRU(labels).fit([w for w, _ in pairs], np.array([k for _, k in pairs]), steps) if pairs else None
 
 
 def predict(docs: DataFrame, model: BiGRU | None) -> DataFrame:
-    """docs with lang_pred and score from the whole text. Null, empty or letterless texts: 'und' with score 0."""
-    small_batches(docs.sparkSession, 256)
-    rest = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    at = next(i for i, f in enumerate(rest) if f.name == "text")
+    """docs with lang_pred and score from the whole text, very long ones too; of tied languages the first by name. Null, empty or letterless
+    texts, and all texts where no language was learned: 'und' with score 0. Columns of these names, in any case, are replaced."""
+    small_batches(docs.sparkSession)
+    rest = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
+    at = next(i for i, f in enumerate(rest) if f.name.lower() == "text")
+    own = docs.select(*[F.col(f"`{f.name.replace('`', '``')}`") for f in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +195,12 @@ def predict(docs: DataFrame, model: BiGRU | None) -> DataFrame:
             lang, score = classify(model, texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", lang_pred string, score double"
-    return docs.select(*[f"`{f.name}`" for f in rest]).mapInArrow(run, schema)
+    return own.mapInArrow(run, extended(own, lang_pred="string", score="double"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row. Rows whose crc32(doc_id as text) mod 4 is 2 are held out: they teach nothing.
-    A null doc_id is not held out and teaches nothing."""
+    A null doc_id is not held out and teaches nothing; rows that repeat an id are rows each; other columns than text and lang are ignored; an empty table gives an empty table."""
     held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2, F.lit(False))
     model = train(docs.where(~held & F.col("doc_id").isNotNull()))
     text = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -209,5 +208,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The pipeline's filter: rows of a known language; out go texts without letters and those whose best pooled probability is under `least`."""
-    return predict(docs, train(docs)).where(f"lang_pred <> '{UNKNOWN}' and score >= {least}").select(*docs.columns)
+    """The pipeline's filter: rows of a known language; out go texts without letters and those whose best pooled probability is
+    under `least`. Where no row tells a language, none can be learned, and all texts with letters stay."""
+    model = train(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return predict(docs, model).where(f"lang_pred <> '{UNKNOWN}' and score >= {least}").select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
