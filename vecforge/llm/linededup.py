@@ -7,16 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, save, sized
+from .common import fresh, release, save, sized
 
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
 #: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
-PASSES = 2
+PASSES = 4
 #: Turns in which classes are compared with one earlier class that has the same extreme words, before the exact join of the rest.
-LEADS = 3
-_SPACE = r"[ \t\x0B\f\r]+"
+LEADS = 4
 _ID = ["doc_id", "line_no", "th"]
+_PARITY = ["p0", "p1", "p2", "p3"]
 
 
 def _words(line: Column) -> Column:
@@ -50,10 +50,14 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _parity(keys: Column, half: bool) -> Column:
-    """64 bits, each the parity of the number of words (of all, or of half of them) that hash to it."""
+def _parity(keys: Column, bits: int) -> Column:
+    """64 bits, each the parity of the number of words that hash to it; of all words (bits 0), or those with all these bits of 64 and 128 set."""
     one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one) if half else one, k.bitwiseAND(F.lit(63)).cast("int"))
+
+    def bit(k: Column) -> Column:
+        some = {0: one, 1: F.shiftright(k, 6).bitwiseAND(one), 2: F.shiftright(k, 7).bitwiseAND(one), 3: F.shiftright(k, 6).bitwiseAND(F.shiftright(k, 7)).bitwiseAND(one)}[bits]
+        return F.call_function("shiftleft", some, k.bitwiseAND(F.lit(63)).cast("int"))
+
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
@@ -63,14 +67,14 @@ def _numbered(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
-    """What the join needs of each line with a word: its id (doc_id, line_no, th), its set's hash cid, size n, parities, the prefix head, and ends, hashes of the two least and the two greatest words of the set's rarer half in an order by hash."""
+    """What the join needs of each line with a word: its id (doc_id, line_no, th), its set's hash cid, size n, parities, the prefix head, and ends, hashes of two pairs of the least and two of the greatest words of the set's rarer half in an order by hash."""
     lines = _numbered(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
     keys = lines.select(*_ID, _words(F.col("line")).alias("words"), level.scalar().alias("level")).select(*_ID, _keys(F.col("words"), F.col("level")).alias("keys"))
     n = F.size("keys")
     mixed = F.sort_array(F.transform(F.slice("keys", F.lit(1), F.floor((n + 3) / 2).cast("int")), lambda k: F.shiftleft(k, 7)))
     return keys.select(*_ID, "keys", mixed.alias("mixed")).select(
-        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), _parity(F.col("keys"), False).alias("p0"), _parity(F.col("keys"), True).alias("p1"),
-        F.array(F.xxhash64(F.slice("mixed", 1, 2)), F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), F.size("mixed") - 1), F.lit(2)), F.lit(1))).alias("ends"),
+        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), *[_parity(F.col("keys"), i).alias(p) for i, p in enumerate(_PARITY)],
+        F.array(*[F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), at), F.lit(2)), F.lit(i)) for i, at in enumerate((F.lit(1), F.lit(3), F.size("mixed") - 1, F.size("mixed") - 3))]).alias("ends"),
         F.slice("keys", F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1).alias("head"),
     )
 
@@ -80,9 +84,11 @@ _OVERLAP = "((4 * ({a} + {b}) + 8) div 9)"
 
 
 def _near(x: str, y: str) -> str:
-    """Length and parity filter of two sets: the 128 parities of both halves of the words differ in at most as many bits as the sets in words."""
+    """Length and parity filter of two sets: the 256 parities of all quarters of the words differ in at most as many bits as the sets in words."""
     most = f"({x}.n + {y}.n - 2 * {_OVERLAP.format(a=f'{x}.n', b=f'{y}.n')})"
-    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and bit_count({x}.p1 ^ {y}.p1) + bit_count({x}.p0 ^ {x}.p1 ^ {y}.p0 ^ {y}.p1) <= {most})"
+    d = [f"({x}.{p} ^ {y}.{p})" for p in _PARITY]
+    quarters = f"bit_count({d[3]}) + bit_count({d[1]} ^ {d[3]}) + bit_count({d[2]} ^ {d[3]}) + bit_count({d[0]} ^ {d[1]} ^ {d[2]} ^ {d[3]})"
+    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and {quarters} <= {most})"
 
 
 def _earlier(y: str, x: str) -> str:
@@ -117,8 +123,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _led(docs: DataFrame, classes: DataFrame) -> list[DataFrame]:
     """Settles most members of large groups: each turn compares the classes that share an end with the earliest of them that has not led yet, one pair for each class."""
-    struct = F.struct("doc_id", "line_no", "n", "p0", "p1")
-    own = classes.select(*_ID, "n", "p0", "p1", F.explode("ends").alias("end"))
+    struct = F.struct("doc_id", "line_no", "n", *_PARITY)
+    own = classes.select(*_ID, "n", *_PARITY, F.explode("ends").alias("end"))
     shared = save(own.groupBy("end").count().where("count > 1").select("end"), "shared")
     rows, found = save(own.join(sized(shared, 16), "end"), "rows"), []
     release(shared)
@@ -150,10 +156,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     unless they are equal sets of words, of which one stays. Very long lines and texts are lines like any other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    if not docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
+        docs = docs.distinct()  # rows that are equal have equal lines
     level = rarity(docs)
     lines = save(_lines(docs, level), "lines")
     key = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
-    same = ["cid", "n", "p0", "p1"]
+    same = ["cid", "n", *_PARITY]
     again = save(lines.groupBy(*same).agg(F.min(key.cast("decimal(38,0)")).alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"), "again")
     marked = lines.join(sized(again, 64), same, "left").withColumn("later", F.coalesce(key.cast("decimal(38,0)") > F.col("first"), F.lit(False)))
     marked = save(marked.drop("first"), "marked")
@@ -164,7 +172,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     own = classes.withColumn("done", F.lit(0)) if flag is None else classes.join(flag, _ID, "left").withColumn("done", F.coalesce("done", F.lit(0)))
     parts = []
     for turn in range(PASSES):
-        words = own.select("doc_id", "line_no", "n", "p0", "p1", "done", F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
+        words = own.select("doc_id", "line_no", "n", *_PARITY, "done", F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
         small = words.where("pos < n - (8 * n + 8) div 9 + 1")
         hit = small.alias("s").join(words.alias("g"), F.col("s.tok") == F.col("g.tok")).where(_possible("s", "g"))
         late = F.expr(_earlier("g", "s"))
@@ -182,14 +190,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with n_lines, n_removed and the text without its repeated lines (a null text stays null, and has no lines)."""
-    nos = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("nos").alias("_nos"))
-    docs = docs.drop("n_lines", "n_removed", "_id", "_th", "_nos")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    docs = docs.drop("n_lines", "n_removed")
+    i, th, gone = fresh(docs, "_id", "_th", "_nos")
+    nos = repeated_lines(docs).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("nos").alias(gone))
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
     joined = docs.join(sized(nos, 96), same, "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_nos", i)), "\n")
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.when(F.col("text").isNotNull(), F.size("_nos")), F.lit(0)), "text": F.when(F.col("_nos").isNull(), F.col("text")).otherwise(kept)})
-    return out.drop("_id", "_th", "_nos")
+    kept = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(gone, at)), "\n")
+    out = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.when(F.col("text").isNotNull(), F.size(gone)), F.lit(0)), "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)})
+    return out.drop(i, th, gone)
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
@@ -197,4 +206,4 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     out = dedup(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
