@@ -19,7 +19,7 @@ def copies(spark):
     return spark.createDataFrame(rows, "vec_id long, x array<double>").repartition(2, "vec_id").cache()
 
 
-@pytest.mark.parametrize("kind", ["SignIVF", "RawFlat"])
+@pytest.mark.parametrize("kind", ["SignFlat", "SignIVF", "RawFlat"])
 def test_copies_tie_by_id(copies, kind):
     q = copies.where("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("x").alias("qv"))
     got = E.build(copies, kind, D, sq8=False, nlist=5, rounds=2).search(q, 7, nprobe=5).collect()
