@@ -39,6 +39,7 @@ def test_copies_tie_by_id(copies, kind):
 BLOCKWISE = [
     "cosine",
     "l2_distance",
+    "dot_product",
 ]
 
 
