@@ -38,6 +38,7 @@ def test_copies_tie_by_id(copies, kind):
 #: Queries whose pairs are scored in blocks.
 BLOCKWISE = [
     "cosine",
+    "knn_graph",
     "l2_distance",
     "dot_product",
 ]
