@@ -40,6 +40,7 @@ BLOCKWISE = [
     "cosine",
     "knn_graph",
     "l2_distance",
+    "multibit_distance",
     "dot_product",
 ]
 
