@@ -41,6 +41,7 @@ BLOCKWISE = [
     "knn_graph",
     "l2_distance",
     "multibit_distance",
+    "rabitq_distance",
     "dot_product",
 ]
 
