@@ -42,6 +42,7 @@ BLOCKWISE = [
     "l2_distance",
     "multibit_distance",
     "rabitq_distance",
+    "sq8_query_distance",
     "dot_product",
 ]
 
