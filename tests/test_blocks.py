@@ -43,6 +43,7 @@ BLOCKWISE = [
     "multibit_distance",
     "rabitq_distance",
     "sq8_query_distance",
+    "tq4_distance",
     "dot_product",
 ]
 
