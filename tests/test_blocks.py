@@ -44,6 +44,7 @@ BLOCKWISE = [
     "rabitq_distance",
     "sq8_query_distance",
     "tq4_distance",
+    "tq4_table_distance",
     "dot_product",
 ]
 
