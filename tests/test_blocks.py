@@ -45,6 +45,7 @@ BLOCKWISE = [
     "sq8_query_distance",
     "tq4_distance",
     "tq4_table_distance",
+    "attention_correlation",
     "dot_product",
 ]
 
