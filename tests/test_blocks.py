@@ -46,6 +46,7 @@ BLOCKWISE = [
     "tq4_distance",
     "tq4_table_distance",
     "attention_correlation",
+    "error_bound_filter",
     "dot_product",
 ]
 
