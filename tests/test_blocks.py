@@ -102,3 +102,19 @@ def test_near_copies_in_the_order_of_sql(spark, tmp_path, name):
     want = con.sql(f"select qid, rank, vec_id from ({catalog.oracle_sql()[name]})").fetchall()
     got = catalog.queries()[name](spark, str(tmp_path)).select("qid", "rank", "vec_id").collect()
     assert len(want) == 500 and sorted(want) == sorted(map(tuple, got))
+
+
+def _whole_table(spark, path):
+    rows = [(i, [float(e) for e in v], i % 3) for i, v in enumerate(np.random.default_rng(3).normal(size=(60, D)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["l2_distance"])
+def test_whole_rows_take_no_second_path(spark, tmp_path, name):
+    """No norms that the score doesn't need, no union with a plainer path where all rows are whole, no null checks of what is never null."""
+    _whole_table(spark, tmp_path)
+    df = catalog.queries()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "SQRT" not in plan.upper()
+    assert not any(f.nullable for f in df.schema)
+    assert df.count() == 180
