@@ -109,7 +109,7 @@ def _whole_table(spark, path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("name", ["l2_distance"])
+@pytest.mark.parametrize("name", ["l2_distance", "dot_product"])
 def test_whole_rows_take_no_second_path(spark, tmp_path, name):
     """No norms that the score doesn't need, no union with a plainer path where all rows are whole, no null checks of what is never null."""
     _whole_table(spark, tmp_path)
