@@ -118,3 +118,18 @@ def test_whole_rows_take_no_second_path(spark, tmp_path, name):
     assert "Union" not in plan and "SQRT" not in plan.upper()
     assert not any(f.nullable for f in df.schema)
     assert df.count() == 180
+
+
+def test_limits_of_the_error_filter_are_found_once(spark, tmp_path, monkeypatch):
+    """Held limits may be handed on at any time; queries with their limits are never counted, which would find the limits again."""
+    import duckdb
+
+    _whole_table(spark, tmp_path)
+    counted, count = [], type(spark.range(1)).count
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: counted.append("Window" in df._jdf.queryExecution().optimizedPlan().toString()) or count(df))
+    monkeypatch.setattr(S, "HELD", 1)
+    got = sorted(map(tuple, catalog.queries()["error_bound_filter"](spark, str(tmp_path)).collect()))
+    assert counted and not any(counted)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got and got == sorted(con.sql(catalog.oracle_sql()["error_bound_filter"]).fetchall())
