@@ -142,3 +142,14 @@ def test_pipeline(spark, tmp_path):
     assert set(range(60)) <= set(out) and not {100, 101, 102, 103} & set(out)
     assert out[104]["text"].count("\n") == 0 and out[104]["n_chars"] == len(out[104]["text"])
     assert all(x["rate"] >= 0 for x in out.values())
+
+
+def test_beam_measures_only_new_points(monkeypatch):
+    """Points met before and unused places are not measured again; what is found stays that of a full scan."""
+    x = np.random.default_rng(4).normal(size=(600, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, measured, einsum = hnsw.Graph(x), [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, *b, **k: (measured.append(int(np.prod(a.shape[:-1]))), einsum(how, a, *b, **k))[1])
+    ids, sims = g.search(x[:100], 48)
+    assert sum(measured) <= 100 * (len(x) + 4 * len(g.layers) * 48)
+    assert (ids[:, 0] == np.arange(100)).mean() >= 0.99 and (np.diff(sims, axis=1) <= 0).all()
