@@ -227,6 +227,34 @@ def test_line_edges(spark):
     assert linededup.remove_lines(df).columns == df.columns
 
 
+def test_line_leaders_are_for_large_groups(spark):
+    r = np.random.default_rng(3)
+    words = lambda k: [f"w{x}" for x in r.integers(0, 10**9, k)]
+    base = words(30)
+    one = [(i, " ".join(words(30))) for i in range(200)]
+    few = one + [(200 + i, one[i][1] + " more") for i in range(5)]
+    many = one + [(200 + i, " ".join([*base, f"x{i}"])) for i in range(60)]
+    for rows, led in ((few, False), (many, True)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert bool(linededup._led(df, linededup._lines(df, linededup.rarity(df)))) == led
+        want = [200 + i for i in range(5)] if rows is few else [200 + i for i in range(1, 60)]
+        assert sorted(x["doc_id"] for x in linededup.repeated_lines(df).collect()) == want
+
+
+def test_line_parities_bound_the_difference(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        x = r.integers(-(2**62), 2**62, r.integers(4, 250))
+        y = np.concatenate([x[: len(x) - len(x) // 10], r.integers(-(2**62), 2**62, len(x) // 10)])
+        rows.append((i, x.tolist(), y.tolist(), r.integers(-(2**62), 2**62, len(x)).tolist()))
+    df = spark.createDataFrame(rows, "i long, x array<long>, y array<long>, z array<long>")
+    side = lambda c: F.struct(F.size(c).alias("n"), *[linededup._parity(F.col(c), bool(k)).alias(p) for k, p in enumerate(linededup._PARITY)]).alias(c)
+    got = df.select(F.size("x").alias("n"), side("x"), side("y"), side("z")).select("n", F.expr(linededup._near("x", "y")).alias("near"), F.expr(linededup._near("x", "z")).alias("far")).collect()
+    assert len(linededup._PARITY) == 2
+    assert all(x["near"] for x in got) and sum(x["far"] for x in got) <= 3
+
+
 def test_decontamination_edges(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, "a " * 50_000 + item + " b" * 50_000, "k"), (1, item, "k"), (2, "yes, so it is", "k"), (3, "yesterday", "k"), (4, None, "k"), (5, "", "k")]

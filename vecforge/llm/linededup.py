@@ -12,11 +12,12 @@ from .common import fresh, release, save, sized
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
 #: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
-PASSES = 4
-#: Turns in which classes are compared with one earlier class that has the same extreme words, before the exact join of the rest.
-LEADS = 4
+PASSES = 3
+#: Turns in which classes are compared with one earlier class that has the same extreme words, before the exact join of the rest;
+#: none as soon as the pairs that share such words are fewer than a FEW-th of the classes: the exact join takes those as it takes all others.
+LEADS, FEW = 4, 8
 _ID = ["doc_id", "line_no", "th"]
-_PARITY = ["p0", "p1", "p2", "p3"]
+_PARITY = ["p0", "p1"]
 
 
 def _words(line: Column) -> Column:
@@ -28,7 +29,7 @@ def _words(line: Column) -> Column:
 def rarity(docs: DataFrame) -> DataFrame:
     """One row (level): for each counter (word hash mod COUNTERS) the logarithmic class, 0 to 63, of its words' total count over
     all documents, in the place where keys have it. Only the order of words depends on it, so blanks alone part words here and capitals count apart."""
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).count()
     every = counts.union(docs.sparkSession.range(COUNTERS).select("id", F.lit(1).cast("long")))
     level = every.groupBy("c").agg(F.shiftleft(F.least(F.lit(63), F.floor(F.log(F.sum("count")) / 0.4)).cast("long"), 57).alias("v"))
@@ -50,15 +51,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _parity(keys: Column, bits: int) -> Column:
-    """64 bits, each the parity of the number of words that hash to it; of all words (bits 0), or those with all these bits of 64 and 128 set."""
+def _parity(keys: Column, half: bool) -> Column:
+    """64 bits, each the parity of the number of words that hash to it; of all words, or of those with the next bit set."""
     one = F.lit(1).cast("long")
-
-    def bit(k: Column) -> Column:
-        some = {0: one, 1: F.shiftright(k, 6).bitwiseAND(one), 2: F.shiftright(k, 7).bitwiseAND(one), 3: F.shiftright(k, 6).bitwiseAND(F.shiftright(k, 7)).bitwiseAND(one)}[bits]
-        return F.call_function("shiftleft", some, k.bitwiseAND(F.lit(63)).cast("int"))
-
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    some = lambda k: F.shiftright(k, 6).bitwiseAND(one) if half else one
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", some(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _numbered(docs: DataFrame, *more: str) -> DataFrame:
@@ -73,7 +70,7 @@ def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
     n = F.size("keys")
     mixed = F.sort_array(F.transform(F.slice("keys", F.lit(1), F.floor((n + 3) / 2).cast("int")), lambda k: F.shiftleft(k, 7)))
     return keys.select(*_ID, "keys", mixed.alias("mixed")).select(
-        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), *[_parity(F.col("keys"), i).alias(p) for i, p in enumerate(_PARITY)],
+        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), *[_parity(F.col("keys"), bool(i)).alias(p) for i, p in enumerate(_PARITY)],
         F.array(*[F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), at), F.lit(2)), F.lit(i)) for i, at in enumerate((F.lit(1), F.lit(3), F.size("mixed") - 1, F.size("mixed") - 3))]).alias("ends"),
         F.slice("keys", F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1).alias("head"),
     )
@@ -83,24 +80,28 @@ def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
 _OVERLAP = "((4 * ({a} + {b}) + 8) div 9)"
 
 
-def _near(x: str, y: str) -> str:
-    """Length and parity filter of two sets: the 256 parities of all quarters of the words differ in at most as many bits as the sets in words."""
-    most = f"({x}.n + {y}.n - 2 * {_OVERLAP.format(a=f'{x}.n', b=f'{y}.n')})"
-    d = [f"({x}.{p} ^ {y}.{p})" for p in _PARITY]
-    quarters = f"bit_count({d[3]}) + bit_count({d[1]} ^ {d[3]}) + bit_count({d[2]} ^ {d[3]}) + bit_count({d[0]} ^ {d[1]} ^ {d[2]} ^ {d[3]})"
-    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and {quarters} <= {most})"
+def _near(x: str, y: str, n: str = "{}.n") -> str:
+    """Length and parity filter of two sets: the 128 parities of both halves of the words differ in at most as many bits as the sets in words."""
+    a, b = n.format(x), n.format(y)
+    most = f"({a} + {b} - 2 * {_OVERLAP.format(a=a, b=b)})"
+    all_, half = (f"({x}.{p} ^ {y}.{p})" for p in _PARITY)
+    return f"(10 * least({a}, {b}) >= 8 * greatest({a}, {b}) and bit_count({half}) + bit_count({all_} ^ {half}) <= {most})"
+
 
+def _earlier(y: str, x: str, line: str = "{}.line_no") -> str:
+    return f"({y}.doc_id < {x}.doc_id or {y}.doc_id = {x}.doc_id and {line.format(y)} < {line.format(x)})"
 
-def _earlier(y: str, x: str) -> str:
-    return f"({y}.doc_id < {x}.doc_id or {y}.doc_id = {x}.doc_id and {y}.line_no < {x}.line_no)"
+
+#: A prefix word's row holds numbers in pairs, so that little is exchanged: line_no and pos in lp, n and done in nd.
+_LINE, _POS, _N, _DONE = "shiftright({}.lp, 32)", "({}.lp & 4294967295)", "shiftright({}.nd, 1)", "({}.nd & 1)"
 
 
 def _possible(s: str, g: str) -> str:
     """Length, positional and parity filter of a word of the smaller set's index prefix that is in the greater set's prefix too.
     The first common word of a similar pair passes all of them."""
-    need = _OVERLAP.format(a=f"{s}.n", b=f"{g}.n")
-    order = f"({s}.n < {g}.n or {s}.n = {g}.n and {_earlier(s, g)})"
-    return f"({order} and least({s}.n - {s}.pos, {g}.n - {g}.pos) >= {need} and {_near(s, g)})"
+    a, b = _N.format(s), _N.format(g)
+    order = f"({a} < {b} or {a} = {b} and {_earlier(s, g, _LINE)})"
+    return f"({order} and least({a} - {_POS.format(s)}, {b} - {_POS.format(g)}) >= {_OVERLAP.format(a=a, b=b)} and {_near(s, g, _N)})"
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,10 +126,15 @@ def _led(docs: DataFrame, classes: DataFrame) -> list[DataFrame]:
     """Settles most members of large groups: each turn compares the classes that share an end with the earliest of them that has not led yet, one pair for each class."""
     struct = F.struct("doc_id", "line_no", "n", *_PARITY)
     own = classes.select(*_ID, "n", *_PARITY, F.explode("ends").alias("end"))
-    shared = save(own.groupBy("end").count().where("count > 1").select("end"), "shared")
-    rows, found = save(own.join(sized(shared, 16), "end"), "rows"), []
+    pairs = (F.col("count") * (F.col("count") - 1) / 2).alias("pairs")
+    shared = save(own.groupBy("end").count().where("count > 1").select("end", pairs), "shared")
+    few, found = classes.count() // FEW, []
+    if (shared.agg(F.sum("pairs")).first()[0] or 0) <= few:
+        release(shared)
+        return found
+    rows = save(own.join(sized(shared.select("end"), 16), "end"), "rows")
     release(shared)
-    for _ in range(LEADS):
+    for turn in range(LEADS):
         lead = rows.groupBy("end").agg(F.min(struct).alias("y"))
         led = save(rows.alias("x").join(lead, "end").where(_earlier("y", "x")).select("x.*", "y"), "led")
         release(rows)
@@ -138,9 +144,13 @@ def _led(docs: DataFrame, classes: DataFrame) -> list[DataFrame]:
             release(led, pairs)
             return found
         found.append(_verified(docs, pairs))
-        rows = save(led.drop("y").join(sized(found[-1], 32), _ID, "left_anti"), "rows")
+        rest = led.drop("y").join(sized(found[-1], 32), _ID, "left_anti")
+        rows = save(rest, "rows") if turn + 1 < LEADS else None
         release(led, pairs)
-    release(rows)
+        if rows is None or (rows.groupBy("end").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) <= few:
+            break
+    if rows is not None:
+        release(rows)
     return found
 
 
@@ -173,11 +183,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     parts = []
     for turn in range(PASSES):
         words = own.select("doc_id", "line_no", "n", *_PARITY, "done", F.posexplode("head").alias("pos", "tok")).where(F.pmod("tok", F.lit(PASSES)) == turn)
+        pair = lambda high, low, bits: F.shiftleft(F.col(high).cast("long"), bits).bitwiseOR(F.col(low).cast("long"))
+        packed = lambda rows: rows.select("tok", "doc_id", pair("line_no", "pos", 32).alias("lp"), pair("n", "done", 1).alias("nd"), *_PARITY)
         small = words.where("pos < n - (8 * n + 8) div 9 + 1")
-        hit = small.alias("s").join(words.alias("g"), F.col("s.tok") == F.col("g.tok")).where(_possible("s", "g"))
-        late = F.expr(_earlier("g", "s"))
-        pick = lambda c, first, second: F.when(late, F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}"))
-        hit = hit.where(pick("done", "s", "g") == 0).select(pick("doc_id", "s", "g").alias("doc_id"), pick("line_no", "s", "g").alias("line_no"), pick("doc_id", "g", "s").alias("y_doc"), pick("line_no", "g", "s").alias("y_line"))
+        hit = packed(small).alias("s").join(packed(words).alias("g"), F.col("s.tok") == F.col("g.tok")).where(_possible("s", "g"))
+        late = F.expr(_earlier("g", "s", _LINE))
+        pick = lambda what, first, second: F.when(late, F.expr(what.format(first))).otherwise(F.expr(what.format(second)))
+        line = lambda first, second: pick(_LINE, first, second).cast("int")
+        hit = hit.where(pick(_DONE, "s", "g") == 0).select(pick("{}.doc_id", "s", "g").alias("doc_id"), line("s", "g").alias("line_no"), pick("{}.doc_id", "g", "s").alias("y_doc"), line("g", "s").alias("y_line"))
         parts.append(save(hit.distinct(), "part"))
         release(hit)  # nothing saved: its exchange may go
     rest = save(reduce(DataFrame.union, parts).distinct(), "rest")
