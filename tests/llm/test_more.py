@@ -255,6 +255,16 @@ def test_line_parities_bound_the_difference(spark):
     assert all(x["near"] for x in got) and sum(x["far"] for x in got) <= 3
 
 
+def test_mixing_features_are_not_copied():
+    import pyarrow as pa
+
+    kind = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+    parts = [[[7, 2], [1, 0], [[4, 5], []], [[0.6, 0.8], []]], [[1, 9], [2, 1], [[3], [8, 9]], [[1.0], [0.8, 0.6]]]]
+    rows = mixing._rows(pa.Table.from_batches([pa.record_batch(x, schema=kind) for x in parts]))
+    assert [(a.tolist(), v.tolist(), k) for a, v, k in rows] == [([3], [1.0], 2), ([], [], 0), ([4, 5], [0.6, 0.8], 1), ([8, 9], [0.8, 0.6], 1)]
+    assert not any(a.flags.owndata or v.flags.owndata for a, v, _ in rows)
+
+
 def test_decontamination_edges(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, "a " * 50_000 + item + " b" * 50_000, "k"), (1, item, "k"), (2, "yes, so it is", "k"), (3, "yesterday", "k"), (4, None, "k"), (5, "", "k")]

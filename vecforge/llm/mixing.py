@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, release, save, sized, small_batches
+from .common import extended, release, save, sized, small_batches, tidy
 
 DOMAINS = ("good", "poor", "toxic")
 #: Share of all kept tokens that each domain should have.
@@ -96,11 +96,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(chosen, 16), F.col("doc_id") == F.col("_lab"))
     own = own.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = own.mapInArrow(_featured, "doc_id long, y int, at array<int>, v array<double>").toArrow().sort_by("doc_id")
+    got = own.mapInArrow(_featured, "doc_id long, y int, at array<int>, v array<double>").toArrow()
     release(chosen)
-    at, v, y = got["at"].combine_chunks(), got["v"].combine_chunks(), got["y"].to_pylist()
-    cuts, words, weights = at.offsets.to_numpy().tolist(), at.values.to_numpy().astype(np.int64), v.values.to_numpy()
-    return Classifier.fit([(words[i:j], weights[i:j], k) for i, j, k in zip(cuts[:-1], cuts[1:], y, strict=True)])
+    return Classifier.fit(_rows(got))
+
+
+def _rows(got: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Features and domain of each row of (doc_id, y, at, v), by doc_id: views into the table, of which no second copy is made."""
+    rows = []
+    for batch in got.to_batches():
+        at, v = batch.column(2), batch.column(3)
+        words, weights = at.values.to_numpy(), v.values.to_numpy()
+        cuts = zip(at.offsets.to_pylist()[:-1], at.offsets.to_pylist()[1:], v.offsets.to_pylist()[:-1], v.offsets.to_pylist()[1:], strict=True)
+        rows += [(i, (words[a:b], weights[c:d], k)) for i, k, (a, b, c, d) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts, strict=True)]
+    return [row for _, row in sorted(rows, key=lambda r: r[0])]
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -155,6 +164,8 @@ def _sums(flat: DataFrame, moves: list[np.ndarray], tries: list[np.ndarray]) ->
 
 #: Lengths of step that a round tries at once.
 STEPS = (1.0, 0.5, 0.2, 0.05, 0.02)
+#: After so many rounds the driver lets go of what finished rounds have left.
+TIDY = 4
 #: Domain totals (shares of all tokens) this near to their targets end the fit.
 TOLERANCE = 5e-3
 
@@ -187,6 +198,8 @@ def fit(flat: DataFrame, targets: tuple[float, ...] = TARGETS, rounds: int = 200
         if (w * (sums[best][0] / total - goal) ** 2).sum() >= (w * off * off).sum() * (1 - 1e-9):
             break
         moves.append(tries[best])
+        if len(moves) % TIDY == 0:
+            tidy(flat.sparkSession)
         at, gram = sums[best]
     return moves, at / total
 
