@@ -279,3 +279,22 @@ def test_decontamination_edges(spark):
         assert sorted((x["doc_id"], x["item_ids"]) for x in decontaminate.match(df, bench).collect())[0] == (1, [7, 9])
     finally:
         decontaminate.BLOCK_CHARS = old
+
+
+def test_lines_that_share_words_by_chance_have_no_leader(spark):
+    """Ends are shared by near copies, not by lines that only have some words of a small vocabulary in common."""
+    r = np.random.default_rng(6)
+    chance = [" ".join(f"w{x}" for x in r.choice(300, 20, replace=False)) for _ in range(1500)]
+    df = spark.createDataFrame([*enumerate(chance), *((2000 + i, f"{chance[0]} x{i}") for i in range(40))], "doc_id long, text string")
+    lines = linededup._lines(df, linededup.rarity(df))
+    shared = lambda rows: rows.select(F.explode("ends").alias("end")).groupBy("end").count().agg(F.sum(F.col("count") - 1)).first()[0]
+    assert shared(lines.where("doc_id < 2000")) < 150 and shared(lines.where("doc_id >= 2000")) >= 40
+
+
+def test_lines_of_any_id_and_size(spark):
+    """Ids too far apart for a number of 64 bits, and sets to both sides of the size from which there is a second parity."""
+    words = [f"w{i}" for i in range(70)]
+    lines = [" ".join(words[:k]) for k in (60, 64, 65, 70)]
+    rows = [(-(2**63), lines[1]), (-5, "a b\nb a"), (2**62, lines[2]), (2**63 - 1, "\n".join([lines[0], lines[3], "b  a", "A a b"]))]
+    got = {x["doc_id"]: x["nos"] for x in linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {-5: [1], 2**62: [0], 2**63 - 1: [0, 1, 2, 3]}

@@ -12,12 +12,15 @@ from .common import fresh, release, save, sized
 #: Counters of the rarity sketch: its size is fixed, whatever the vocabulary.
 COUNTERS = 1 << 17
 #: Prefix words are joined in so many turns, by their hash, so that the disk holds the exchange of one turn only.
-PASSES = 3
+PASSES = 2
 #: Turns in which classes are compared with one earlier class that has the same extreme words, before the exact join of the rest;
 #: none as soon as the pairs that share such words are fewer than a FEW-th of the classes: the exact join takes those as it takes all others.
 LEADS, FEW = 4, 8
 _ID = ["doc_id", "line_no", "th"]
 _PARITY = ["p0", "p1"]
+_SET = ["cid", "n", "p0"]
+#: A set of up to LONG words has the first parity only: its 64 bits tell such sets apart. Words that make an end of a set.
+LONG, TRIPLE = 64, 3
 
 
 def _words(line: Column) -> Column:
@@ -39,10 +42,7 @@ def rarity(docs: DataFrame) -> DataFrame:
 def _keys(words: Column, level: Column) -> Column:
     """The different words as longs that sort by rarity, then hash: 6 bits of class, 57 of hash."""
 
-    def key(h):
-        rank = F.coalesce(F.get(level, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0).cast("long"))
-        return rank.bitwiseOR(F.shiftrightunsigned(h, 7))
-
+    key = lambda h: F.get(level, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
 
 
@@ -64,14 +64,16 @@ def _numbered(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
-    """What the join needs of each line with a word: its id (doc_id, line_no, th), its set's hash cid, size n, parities, the prefix head, and ends, hashes of two pairs of the least and two of the greatest words of the set's rarer half in an order by hash."""
-    lines = _numbered(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
-    keys = lines.select(*_ID, _words(F.col("line")).alias("words"), level.scalar().alias("level")).select(*_ID, _keys(F.col("words"), F.col("level")).alias("keys"))
+    """What the join needs of each line with a word: its id (doc_id, line_no, th), its set's hash cid, size n, parities (p1 is null up to LONG words), the prefix head, and ends, hashes of two triples of the least and one of the greatest words of the set's rarer half in an order by hash."""
+    lines = _numbered(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]")).select(*_ID, _words(F.col("line")).alias("words"), level.scalar().alias("level"))
+    keys = lines.select(*_ID, _keys(F.col("words"), F.col("level")).alias("keys"))
     n = F.size("keys")
-    mixed = F.sort_array(F.transform(F.slice("keys", F.lit(1), F.floor((n + 3) / 2).cast("int")), lambda k: F.shiftleft(k, 7)))
+    half = F.greatest(F.lit(2 * TRIPLE), F.floor((n + 3) / 2)).cast("int")
+    mixed = F.sort_array(F.transform(F.slice("keys", F.lit(1), half), lambda k: F.shiftleft(k, 7)))
+    all_, some = (_parity(F.col("keys"), bool(i)) for i in range(2))
     return keys.select(*_ID, "keys", mixed.alias("mixed")).select(
-        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), *[_parity(F.col("keys"), bool(i)).alias(p) for i, p in enumerate(_PARITY)],
-        F.array(*[F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), at), F.lit(2)), F.lit(i)) for i, at in enumerate((F.lit(1), F.lit(3), F.size("mixed") - 1, F.size("mixed") - 3))]).alias("ends"),
+        *_ID, F.xxhash64("keys").alias("cid"), n.alias("n"), all_.alias("p0"), F.when(n > LONG, some).alias("p1"),
+        F.array(*[F.xxhash64(F.slice("mixed", F.greatest(F.lit(1), at), F.lit(TRIPLE)), F.lit(i)) for i, at in enumerate((F.lit(1), F.lit(TRIPLE + 1), F.size("mixed") - TRIPLE + 1))]).alias("ends"),
         F.slice("keys", F.lit(1), n - F.floor((8 * n + 9) / 10).cast("int") + 1).alias("head"),
     )
 
@@ -80,12 +82,16 @@ def _lines(docs: DataFrame, level: DataFrame) -> DataFrame:
 _OVERLAP = "((4 * ({a} + {b}) + 8) div 9)"
 
 
-def _near(x: str, y: str, n: str = "{}.n") -> str:
-    """Length and parity filter of two sets: the 128 parities of both halves of the words differ in at most as many bits as the sets in words."""
+def _bits(x: str, y: str, n: str = "{}.n") -> str:
+    """Parity filter of two sets: their parities differ in at most as many bits as the sets in words; those of both halves of the words count apart where both sets have them."""
     a, b = n.format(x), n.format(y)
-    most = f"({a} + {b} - 2 * {_OVERLAP.format(a=a, b=b)})"
     all_, half = (f"({x}.{p} ^ {y}.{p})" for p in _PARITY)
-    return f"(10 * least({a}, {b}) >= 8 * greatest({a}, {b}) and bit_count({half}) + bit_count({all_} ^ {half}) <= {most})"
+    return f"(coalesce(bit_count({half}) + bit_count({all_} ^ {half}), bit_count({all_})) <= {a} + {b} - 2 * {_OVERLAP.format(a=a, b=b)})"
+
+
+def _near(x: str, y: str) -> str:
+    """Length and parity filter of two sets."""
+    return f"(10 * least({x}.n, {y}.n) >= 8 * greatest({x}.n, {y}.n) and {_bits(x, y)})"
 
 
 def _earlier(y: str, x: str, line: str = "{}.line_no") -> str:
@@ -101,7 +107,17 @@ def _possible(s: str, g: str) -> str:
     The first common word of a similar pair passes all of them."""
     a, b = _N.format(s), _N.format(g)
     order = f"({a} < {b} or {a} = {b} and {_earlier(s, g, _LINE)})"
-    return f"({order} and least({a} - {_POS.format(s)}, {b} - {_POS.format(g)}) >= {_OVERLAP.format(a=a, b=b)} and {_near(s, g, _N)})"
+    return f"(10 * {a} >= 8 * {b} and {a} <= {b} and {_bits(s, g, _N)} and {order} and least({a} - {_POS.format(s)}, {b} - {_POS.format(g)}) >= {_OVERLAP.format(a=a, b=b)})"
+
+
+def _firsts(lines: DataFrame) -> tuple[Column, DataFrame]:
+    """A number that orders lines by doc_id, then line_no (a long if the ids at hand allow, else a decimal), and a saved table of the first of it for each set that several lines have."""
+    lo, hi, last = (x or 0 for x in lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
+    if (hi - lo + 1) * (last + 1) < 1 << 63:
+        key = (F.col("doc_id") - F.lit(lo)) * F.lit(last + 1).cast("long") + F.col("line_no")
+    else:
+        key = (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
+    return key, save(lines.groupBy(*_SET).agg(F.min(key).alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"), "again")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,7 +139,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _led(docs: DataFrame, classes: DataFrame) -> list[DataFrame]:
-    """Settles most members of large groups: each turn compares the classes that share an end with the earliest of them that has not led yet, one pair for each class."""
+    """Settles most members of large groups: each turn compares the classes that share an end with the earliest of them that has not led yet, one pair for each class.
+    Ends are of three words, so that sets of other lines that only share some words by chance, more of them the more lines there are, have no leader in common."""
     struct = F.struct("doc_id", "line_no", "n", *_PARITY)
     own = classes.select(*_ID, "n", *_PARITY, F.explode("ends").alias("end"))
     pairs = (F.col("count") * (F.col("count") - 1) / 2).alias("pairs")
@@ -170,11 +187,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         docs = docs.distinct()  # rows that are equal have equal lines
     level = rarity(docs)
     lines = save(_lines(docs, level), "lines")
-    key = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
-    same = ["cid", "n", *_PARITY]
-    again = save(lines.groupBy(*same).agg(F.min(key.cast("decimal(38,0)")).alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"), "again")
-    marked = lines.join(sized(again, 64), same, "left").withColumn("later", F.coalesce(key.cast("decimal(38,0)") > F.col("first"), F.lit(False)))
-    marked = save(marked.drop("first"), "marked")
+    key, again = _firsts(lines)
+    marked = lines.join(sized(again, 64), _SET, "left").withColumn("later", F.coalesce(key > F.col("first"), F.lit(False))).drop("first", "cid")
+    marked = save(marked, "marked")
     classes, equal = marked.where("not later").drop("later"), marked.where("later").select(*_ID)
     release(lines, level, again)
     found = _led(docs, classes)
